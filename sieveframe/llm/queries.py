@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, sentencepiece
+from . import licenses, linededup, mixing, ngram_join, sentencepiece
 from .common import read
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(read(spark, sf_dir, "documents")))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_bytes, ids, decoded_sha256 and whether decoding gives the text again."""
     out = sentencepiece.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=("text",))
@@ -26,8 +30,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sentencepiece": op2_sentencepiece, "op7_line_dedup": op7_line_dedup, "op10_mixing": op10_mixing}
+    return {"op1_license_scan": op1_license_scan, "op2_sentencepiece": op2_sentencepiece, "op7_line_dedup": op7_line_dedup, "op10_mixing": op10_mixing, "op3_ngram_jaccard_join": op3_ngram_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
