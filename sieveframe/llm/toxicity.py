@@ -2,8 +2,8 @@
 
 * Terms are words (runs of letters, lower-cased) and their first four and five letters. The vocabulary is chosen on at
   most ``EXAMPLES`` labelled documents (smallest hash of the id): terms that go with the toxic label beyond
-  chance for as many terms as were tried (G^2 above twice the logarithm of ten times their number; copies of a text count
-  once), at most ``TERMS``.
+  chance for as many terms as were tried (G^2 above twice the logarithm of ten times their number; copies and most
+  near copies of a text count once), at most ``TERMS``.
 * Document frequencies are counted over all documents. Examples are those labelled documents; their vectors make an
   inverted index whose postings are cut into blocks of examples with each term's largest weight. A query visits
   blocks by their bound and stops when none can reach the k-th best cosine, so the result is exact.
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, texts
+from .ngram_join import shingles
 
 EXAMPLES, TERMS, K, BLOCK = 6000, 2000, 15, 64
 _WORD = re.compile(r"[^\W\d_]+")
@@ -199,7 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms:
             (toxic if y else clean).update(terms_of(text).keys())
         return [(t, toxic[t], clean[t]) for t in toxic.keys() | clean.keys()]
 
-    distinct = materialize(sample.dropDuplicates(["text", "toxic"]))
+    # near copies mostly share their smallest shingle, other texts don't
+    keyed = map_rows(sample, "text string, toxic int, k string", lambda columns: [(t, y, str(shingles(t)[:1])) for _, t, y in zip(*columns, strict=True)])
+    distinct = materialize(keyed.dropDuplicates(["k", "toxic"]).select("k", "text", "toxic"))
     sizes = {bool(r.toxic): r["count"] for r in distinct.groupBy("toxic").count().collect()}
     # the vocabulary of a bounded sample, less what two toxic documents don't share
     counted = map_rows(distinct, "term string, toxic bigint, clean bigint", tally).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 2").collect()
