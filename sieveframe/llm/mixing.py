@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import WS, materialize
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -76,12 +76,13 @@ def apportion(parties: DataFrame, group: list[str], key: list[str], votes: str,
     return left.join(right, cond, "left").select(*[F.col(f"a.{c}") for c in parties.columns], (F.col("a.__low") + F.coalesce(F.col("b.__won"), F.lit(0))).cast("long").alias("quota"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_words: int = SHARD_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, full (times it is taken whole), pieces and taken.
 
-    ``pieces`` holds (start, words) runs of words, from 0, that are taken once more; null if there are none.
+    ``pieces`` holds (start, words) runs of words, from 0, that are taken once more; null if there are none. Light columns in
+    ``keep`` come along.
     """
-    sizes = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
+    sizes = materialize(docs.select(*[F.col(c) for c in keep], F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
     per = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
     # equal-token blocks, small enough for LEAST_BLOCKS of them
     total = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("want")).first()
@@ -107,4 +108,21 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     pieces = F.transform(touched, lambda k: F.struct((F.greatest(k * b, F.col("start")) - F.col("start")).alias("start"), (F.least((k + 1) * b, F.col("end")) - F.greatest(k * b, F.col("start"))).alias("words")))
     out = out.withColumn("pieces", pieces)
     extra = F.coalesce(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["words"]), F.lit(0).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.col("full").cast("long").alias("full"), F.when(F.size("pieces") > 0, F.col("pieces")).alias("pieces"), (F.col("full") * F.col("size") + extra).cast("long").alias("taken"))
+    return out.select(*keep, "doc_id", "source", "size", "source_size", "target", F.col("full").cast("long").alias("full"), F.when(F.size("pieces") > 0, F.col("pieces")).alias("pieces"), (F.col("full") * F.col("size") + extra).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
+    """The mixture itself: rows like those of docs (doc_id, text, lang, source, n_chars), as often as the plan takes them.
+
+    A text taken whole is repeated as it is; the words of its chosen blocks make one more row, in their order. Rows
+    equal in doc_id and text are one document.
+    """
+    rows = docs.withColumn("__th", F.xxhash64("text")).dropDuplicates(["doc_id", "__th"])
+    fates = plan(rows, seed=seed, keep=("__th",), **options)
+    fates = fates.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__t"), "full", "pieces")
+    both = rows.join(fates, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")))
+    words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*)"), 1)
+    part = F.btrim(F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")))), ""), F.lit(WS))
+    taken = F.concat(F.array_repeat("text", F.col("full").cast("int")), F.when(F.col("pieces").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = both.withColumn("__one", F.explode(taken))
+    return out.select(*[F.col("__one").alias("text") if c == "text" else F.char_length("__one").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])

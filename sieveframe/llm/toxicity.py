@@ -249,6 +249,25 @@ def apply(model: Model, vectors: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "matched")
 
 
+def flag(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with all their columns and ``__predicted``, scored where the rows are: no join brings texts and scores together."""
+    import pyarrow as pa
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    state = (model.names, model.idf, model.k, model.blank, model.ids, model.toxic, model.index, model.curve)
+    schema = StructType([*docs.schema.fields, StructField("__predicted", IntegerType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = _restored(state)
+        vocabulary = {t: i for i, t in enumerate(m.names)}
+        for batch in batches:
+            got = [int(round(m.score(counts_in(t, vocabulary))[0], 9) >= 0.5) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int32())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def _restored(state: tuple) -> Model:
     m = Model.__new__(Model)
     m.names, m.idf, m.k, m.blank, m.ids, m.toxic, m.index, m.curve = state
