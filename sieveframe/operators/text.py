@@ -1,9 +1,8 @@
 """Line and byte level operations on source text. Sequential ones run as Arrow batches; the rest are expressions."""
 
-from __future__ import annotations
-
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -44,12 +43,15 @@ def _head(s: str, n: int) -> str:
     return s.encode()[: max(0, n)].decode("utf-8", "ignore")
 
 
-@F.pandas_udf("string")
-def truncate_utf8(s: pd.Series, n: pd.Series) -> pd.Series:
-    """At most n bytes, never half a character."""
+def _truncated(s: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else _head(v, int(k)) for v, k in zip(s, n, strict=True)])
 
 
+def truncate_utf8(s: Column, n: Column) -> Column:
+    """At most n bytes, never half a character."""
+    return F.pandas_udf(_truncated, "string")(s, n)
+
+
 def strip_code(code: str) -> str:
     """X15, per line: no // comments, quoted text emptied, quotes kept."""
     out = []
@@ -123,22 +125,29 @@ def byte_window(code: str, line: int, budget: int) -> str:
     return "\n".join(rows[low : high + 1])
 
 
-def _text_udf(f):
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
+def _by_text(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
+    """A column function from one of strings, in Arrow batches; made when it is used, as workers import this module too."""
 
-    return run
+    def column(c: Column) -> Column:
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(f, na_action="ignore")
 
+        return F.pandas_udf(run, "string")(c)
 
-strip_code_col, blank_strings_col, obfuscate_col = _text_udf(strip_code), _text_udf(blank_strings), _text_udf(obfuscate)
+    return column
 
 
-@F.pandas_udf("string")
-def byte_window_col(s: pd.Series, line: pd.Series, budget: pd.Series) -> pd.Series:
+strip_code_col, blank_strings_col, obfuscate_col = _by_text(strip_code), _by_text(blank_strings), _by_text(obfuscate)
+
+
+def _windows(s: pd.Series, line: pd.Series, budget: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else byte_window(v, int(n), int(b)) for v, n, b in zip(s, line, budget, strict=True)])
 
 
+def byte_window_col(s: Column, line: Column, budget: Column) -> Column:
+    return F.pandas_udf(_windows, "string")(s, line, budget)
+
+
 def parse_verdict(reply: str) -> str | None:
     """JSON between the first { and the last }, else what fields can be salvaged; null without ``exploitable``."""
     start, end = reply.find("{"), reply.rfind("}")
@@ -161,7 +170,7 @@ def parse_verdict(reply: str) -> str | None:
     return json.dumps({k: out[k] for k in sorted(out)})
 
 
-parse_verdict_col = _text_udf(parse_verdict)
+parse_verdict_col = _by_text(parse_verdict)
 
 
 def strip_ansi(c: Column) -> Column:

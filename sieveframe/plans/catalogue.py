@@ -368,10 +368,10 @@ def d06_ssvc(t: Tables) -> DataFrame:
 
 
 @query("""with m as (select user_id, ts, event_id from events where event_type = 'signup'), f as (select event_id as fid, user_id, ts from events where event_type = 'error')
-select fid, m.event_id as method_id from f asof left join m on f.user_id = m.user_id and f.ts >= m.ts""")
+select fid, coalesce(m.event_id, -1) as method_id from f asof left join m on f.user_id = m.user_id and f.ts >= m.ts""")
 def j15_enclosing_as_of(t: Tables) -> DataFrame:
     own = lambda kind, name: t.events.where(F.col("event_type") == kind).select(F.col("user_id").alias("file"), F.col("ts").alias("line"), F.col("event_id").alias(name))
-    return enrich.enclosing(own("error", "fid"), own("signup", "method_id"))
+    return enrich.enclosing(own("error", "fid"), own("signup", "method_id")).withColumn("method_id", F.coalesce("method_id", F.lit(-1).cast("long")))
 
 
 @query("with fair as (select to_id from edges group by to_id having count(distinct from_id) <= 1) select to_id as sink_name, from_id as surface_id from edges where to_id in (select to_id from fair)")
@@ -387,10 +387,10 @@ def g05_nearest_surface(t: Tables) -> DataFrame:
     return graph.nearest_surface(sources, callers, t.edges.where("from_id like '%3'").select(F.col("from_id").alias("surface_id")).distinct())
 
 
-@query("""select surface_id, case when kind = 'auth_boundary' then 'Inconclusive' when a is null then 'Inconclusive' when hop = 0 then 'Inconclusive' when sanitized or safe then 'Safe' else 'Violation' end as verdict,
-  case when kind = 'auth_boundary' then 'CWE-862' when a is null then 'CWE-22' when hop > 0 and (sanitized or safe) then '' else a end as cwe from (
+@query("""select surface_id, case when kind = 'auth_boundary' then case when sanitized then 'Safe' else 'Inconclusive' end when a is null then 'Inconclusive' when hop = 0 then 'Inconclusive' when sanitized or safe then 'Safe' else 'Violation' end as verdict,
+  case when kind = 'auth_boundary' then case when sanitized then '' else 'CWE-862' end when a is null then 'CWE-22' when hop > 0 and (sanitized or safe) then '' else a end as cwe from (
   select seq as surface_id, case when seq % 9 = 0 then 'auth_boundary' else 'external_input' end as kind, case seq % 4 when 0 then 'CWE-89' when 1 then 'CWE-78' when 2 then 'CWE-918' end as a, seq % 5 as hop, seq % 6 = 0 as sanitized,
-    case seq % 4 when 0 then seq % 10 = 1 or seq % 10 = 6 when 1 then seq % 10 = 2 or seq % 10 = 7 else false end as safe from findings) x where not (kind = 'auth_boundary' and a in ('CWE-89', 'CWE-78'))""")
+    case seq % 4 when 0 then seq % 10 = 1 or seq % 10 = 6 when 1 then seq % 10 = 2 or seq % 10 = 7 else false end as safe from findings) x where not (kind = 'auth_boundary' and coalesce(a, '') in ('CWE-89', 'CWE-78'))""")
 def d13_contract_verdicts(t: Tables) -> DataFrame:
     """Surfaces made of findings: the anchor by seq % 4, the call path by seq % 5 and a safe call by seq % 10."""
     s = t.findings.select(
@@ -476,7 +476,7 @@ def x17_minified(t: Tables) -> DataFrame:
 @query()
 def x12_truncate_utf8(t: Tables) -> DataFrame:
     """Bytes, not characters: tested by round trips."""
-    return t.documents.select("doc_id", text.truncate_utf8("text", F.lit(200)).alias("head"))
+    return t.documents.select("doc_id", text.truncate_utf8(F.col("text"), F.lit(200)).alias("head"))
 
 
 @query("with w as (select doc_id, text, string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+') as a from documents) select doc_id, case when len(a) > 25 then array_to_string(a[1:25], ' ') else text end as summary from w")
@@ -591,7 +591,7 @@ def u06_distinct_union(t: Tables) -> DataFrame:
     return t.edges.select(F.col("from_id").alias("id")).union(t.edges.select("to_id")).distinct()
 
 
-@query("""with s as (select path, seq, cwe, line from findings where seq % 50 = 0) select path as surface_id, string_agg(cwe, ',' order by f) as sinks, sum(n) as n_steps from (select path, cwe, min(seq) as f, count(*) * 2 as n from s group by path, cwe) x group by path""")
+@query("""with s as (select path, seq, cwe, line from findings where seq % 50 = 0) select path as surface_id, string_agg(cwe, ',' order by f) as sinks, cast(sum(n) as bigint) as n_steps from (select path, cwe, min(seq) as f, count(*) * 2 as n from s group by path, cwe) x group by path""")
 def a20_path_summary(t: Tables) -> DataFrame:
     p = t.findings.where("seq % 50 = 0").select(F.col("path").alias("surface_id"), "seq", F.col("cwe").alias("sink_name"), F.col("path").alias("sink_file"), F.col("line").alias("sink_line"), F.array(F.lit("a"), F.lit("b")).alias("steps"), F.lit(False).alias("sanitized"))
     return enrich.path_summary(p).select("surface_id", F.array_join("sinks", ",").alias("sinks"), F.size("steps").cast("long").alias("n_steps"))
