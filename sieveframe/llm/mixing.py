@@ -63,8 +63,9 @@ def apportion(parties: DataFrame, group: list[str], key: list[str], votes: str,
     wide = parties.withColumn("__p", p).withColumn("__n", n)
     wide = wide.withColumn("__low", F.greatest(F.lit(0).cast("long"), F.floor(F.col("__p") * F.col(seats) - F.col("__p") * F.col("__n") / 2 - 1)))
     wide = wide.withColumn("__high", F.ceil(F.col("__p") * F.col(seats) + F.col("__p") * F.col("__n") / 2 + 1))
-    spare = (F.col(seats) - F.sum("__low").over(of)).alias("__spare")
-    tries = wide.select(*group, *[k for k in key if k not in group], votes, spare, F.explode(F.sequence("__low", "__high")).alias("__s"))
+    # before the explode below: a window in the same select would sum over its rows
+    wide = wide.withColumn("__spare", F.col(seats) - F.sum("__low").over(of))
+    tries = wide.select(*group, *[k for k in key if k not in group], votes, "__spare", F.explode(F.sequence("__low", "__high")).alias("__s"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy((F.col(votes) / (2 * F.col("__s") + 1)).desc(), *key, "__s"))
     won = tries.where(F.col(votes) > 0).withColumn("__r", rank).where("__r <= __spare").groupBy(*dict.fromkeys([*group, *key])).agg(F.count("*").alias("__won"))
     # keys may be null: compare null-safely
