@@ -34,8 +34,8 @@ def without_history(findings: DataFrame, stored: DataFrame) -> DataFrame:
 def merge_exact(findings: DataFrame) -> DataFrame:
     """Gate 1 (D03, D04, A07): one row for each (cwe, path, line), with n_merged.
 
-    The winner is the most confident, the first of equals. At most one pinned row makes the fold a set function, which the
-    map side can combine; groups with more pins are folded in input order.
+    The winner is the most confident, the first of equals. With at most one pinned row and known sources the fold is a set
+    function, which the map side can combine; groups with more pins, or with other sources among crossing ones, are folded in input order.
     """
     key = X.gate_key(F.col("cwe"), F.col("path"), F.col("line"))
     rows = findings.withColumn("__key", key)
@@ -43,16 +43,17 @@ def merge_exact(findings: DataFrame) -> DataFrame:
     cross = F.bool_or(F.col("src") == "PATTERN") & F.bool_or(F.col("src") == "SEMANTIC")
     groups = rows.groupBy("__key").agg(
         F.max_by(F.struct(*[F.col(c) for c in findings.columns]), F.struct(F.col("conf"), -F.col("seq"))).alias("w"),
-        F.count("*").alias("n"), (cross | both).alias("crossed"), F.count_if("pinned").alias("pins"), F.max_by("severity", F.when(F.col("pinned"), F.col("seq"))).alias("pin_sev"),
+        F.count("*").alias("n"), (cross | both).alias("crossed"), F.count_if("pinned").alias("pins"), F.bool_or(~F.col("src").isin("PATTERN", "SEMANTIC", "BOTH")).alias("others"), F.max_by("severity", F.when(F.col("pinned"), F.col("seq"))).alias("pin_sev"),
     )
     out = groups.withColumn("src", F.when((F.col("n") > 1) & F.col("crossed"), F.lit("BOTH")).otherwise(F.col("w.src")))
     out = out.withColumn("pinned", F.col("pins") > 0).withColumn("sev", F.when(F.col("pins") > 0, F.col("pin_sev")).otherwise(F.col("w.severity")))
-    # several pins: the winner's severity at each step depends on the order
-    many = out.where("pins > 1").select("__key")
-    folded = rows.join(many, "__key").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("conf").alias("c"), F.col("pinned").alias("p"), F.col("severity").alias("sev")))).alias("a"))
-    fold = """aggregate(slice(a, 2, greatest(size(a) - 1, 0)), struct(a[0].c as c, a[0].p as p, a[0].sev as sev), (w, r) -> struct(
-      if(r.c > w.c, r.c, w.c) as c, w.p or r.p as p, case when r.c > w.c then if(w.p, w.sev, r.sev) else if(r.p, r.sev, w.sev) end as sev)).sev"""
-    out = out.join(folded.select("__key", F.expr(fold).alias("fold_sev")), "__key", "left").withColumn("sev", F.coalesce("fold_sev", "sev"))
+    many = out.where("pins > 1 or (others and crossed)").select("__key")
+    folded = rows.join(many, "__key").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("conf").alias("c"), F.col("src").alias("s"), F.col("pinned").alias("p"), F.col("severity").alias("sev")))).alias("a"))
+    fold = """aggregate(slice(a, 2, greatest(size(a) - 1, 0)), struct(a[0].c as c, a[0].s as s, a[0].p as p, a[0].sev as sev), (w, r) -> struct(
+      if(r.c > w.c, r.c, w.c) as c,
+      case when 'BOTH' in (w.s, r.s) or (w.s in ('PATTERN', 'SEMANTIC') and r.s in ('PATTERN', 'SEMANTIC') and w.s <> r.s) then 'BOTH' when r.c > w.c then r.s else w.s end as s,
+      w.p or r.p as p, case when r.c > w.c then if(w.p, w.sev, r.sev) else if(r.p, r.sev, w.sev) end as sev))"""
+    out = out.join(folded.select("__key", F.expr(fold).alias("f")), "__key", "left").withColumn("sev", F.coalesce("f.sev", "sev")).withColumn("src", F.coalesce("f.s", "src"))
     special = {"src": F.col("src"), "pinned": F.col("pinned"), "severity": F.col("sev")}
     return out.select(*[special.get(c, F.col(f"w.{c}")).alias(c) for c in findings.columns], F.col("n").alias("n_merged"))
 

@@ -72,11 +72,11 @@ def self_consistent(verdicts: DataFrame) -> DataFrame:
     """verdicts(exploitable, confidence, second_answer): a NO takes 0.3 off, and below 0.6 it isn't exploitable."""
     asked = F.col("exploitable") & (F.col("confidence") >= 0.85) & ~F.coalesce(X.yes_vote(F.col("second_answer")), F.lit(True))
     conf = F.when(asked, F.greatest(F.col("confidence") - 0.3, F.lit(0.0))).otherwise(F.col("confidence"))
-    return verdicts.withColumn("exploitable", F.when(asked & (conf < 0.6), F.lit(False)).otherwise(F.col("exploitable"))).withColumn("confidence", conf)
+    return verdicts.withColumns({"exploitable": F.when(asked & (conf < 0.6), F.lit(False)).otherwise(F.col("exploitable")), "confidence": conf})
 
 
 def proven(findings: DataFrame) -> DataFrame:
     """findings(confidence, severity, proof_status): a proof adds 0.2 and never lowers."""
     ok = F.col("proof_status") == "confirmed"
     conf = F.when(ok, F.least(F.col("confidence") + 0.2, F.lit(1.0))).otherwise(F.col("confidence"))
-    return findings.withColumn("severity", F.when(ok & (X.severity_rank(X.severity(conf)) < X.severity_rank(F.col("severity"))), X.severity(conf)).otherwise(F.col("severity"))).withColumn("confidence", conf)
+    return findings.withColumns({"severity": F.when(ok & (X.severity_rank(X.severity(conf)) < X.severity_rank(F.col("severity"))), X.severity(conf)).otherwise(F.col("severity")), "confidence": conf})
