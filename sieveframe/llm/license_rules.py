@@ -17,7 +17,7 @@ mit | 41 | license mit | license mit
 mit-0 | 90 | mit no attribution | mit no attribution
 x11 | 72 | x11 license | x11 license
 x11 | 82 | x consortium | except as contained in this notice the name of the x consortium shall not be used
-isc | 92 | permission to use copy modify and or distribute | permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+isc | 92 | permission to use copy modify and | permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
 isc | 72 | isc license | isc license
 0bsd | 91 | with or without fee is hereby granted the software | permission to use copy modify and( or)? distribute this software for any purpose with or without fee is hereby granted the software is provided as is
 0bsd | 71 | zero clause bsd | (bsd )?zero clause bsd
@@ -42,7 +42,7 @@ apache-2 | 90 | you may not use this file except in compliance | licensed under
 apache-2 | 75 | apache license version 2 | apache license version 2( 0)?
 apache-2 | 74 | apache software license version 2 | apache software license version 2( 0)?
 apache-2 | 72 | apache 2 | apache 2( 0)? licen[sc]ed?
-apache-2 | 71 | apache license 2 | apache license v?2( 0)?
+apache-2 | 71 | apache license | apache license v?2( 0)?
 apache-2 | 70 | apache license v2 | apache license v2( 0)?
 apache-2 | 66 | apache org licenses license 2 | apache org licenses license 2( 0)?
 apache-2 | 45 | license apache 2 | license apache 2( 0)?
@@ -196,7 +196,7 @@ openssl | 72 | openssl license | openssl license
 ssleay | 80 | cryptographic software written by eric young | this product includes cryptographic software written by eric young
 postgresql | 78 | postgresql license | postgresql license
 vim | 76 | vim license | vim license
-w3c | 78 | w3c software notice and license | w3c software notice and( document)? license
+w3c | 78 | w3c software notice and | w3c software notice and( document)? license
 beerware | 84 | beer ware license | the beer ware license( revision 42)?
 beerware | 80 | buy me a beer in return | you can buy me a beer in return
 json | 84 | shall be used for good not evil | the software shall be used for good not evil
@@ -232,7 +232,7 @@ proprietary | 58 | trade secret | (confidential|contains)( \\S+){0,4} trade secr
 all-rights-reserved | 40 | all rights reserved | all rights reserved
 non-commercial | 56 | non commercial use only | (for )?(personal and )?non commercial use only
 non-commercial | 56 | noncommercial use only | (for )?noncommercial use only
-non-commercial | 54 | commercial use is prohibited | commercial use is( strictly)? prohibited
+non-commercial | 54 | commercial use is | commercial use is( strictly)? prohibited
 research-only | 56 | research purposes only | (academic |scientific )?research purposes only
 research-only | 54 | research use only | (for )?(academic )?research use only
 no-derivatives | 54 | no derivative works | no derivative works( are)?( permitted| allowed)?
