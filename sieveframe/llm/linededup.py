@@ -63,14 +63,18 @@ def drop_bitmaps(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: doc_id (and the columns in ``keep``), n_lines, n_dropped, drops (bitmap words, null if none) and the text that is kept."""
-    rows = docs.select(*[F.col(c) for c in keep if c not in (id_col,)], F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    maps = drop_bitmaps(texts(docs, id_col, text_col), min_chars).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "n_dropped", "drops")
-    both = rows.join(maps, (F.col("__id") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__th")), "left")
+    """One row per row of docs: doc_id, n_lines, n_dropped, drops (bitmap words, null if none) and the text that is kept.
+
+    Columns in ``keep``, whatever their names, come along in a struct ``row``.
+    """
+    own = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
+    rows = docs.select(*own, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    maps = drop_bitmaps(texts(docs, id_col, text_col), min_chars).select(F.col("doc_id").alias("of"), "th", "n_dropped", "drops")
+    both = rows.join(maps, (F.col("doc_id") == F.col("of")) & (F.xxhash64("text") == F.col("th")), "left")
     gone = lambda i: F.getbit(F.coalesce(F.get("drops", (i / BITS).cast("int")), F.lit(0).cast("long")), F.pmod(i, F.lit(BITS))) == 1
-    kept = F.when(F.col("drops").isNull(), F.col("__text")).otherwise(F.array_join(F.filter(_lines(F.col("__text")), lambda _, i: ~gone(i)), "\n"))
-    n_lines = F.length("__text") - F.length(F.replace(F.col("__text"), F.lit("\n"), F.lit(""))) + 1
-    return both.select(*[F.col(c) for c in keep if c != id_col], F.col("__id").alias("doc_id"), n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "drops", kept.alias("kept_text"))
+    kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.filter(_lines(F.col("text")), lambda _, i: ~gone(i)), "\n"))
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    return both.select(*(["row"] if keep else []), "doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "drops", kept.alias("kept_text"))
 
 
 ORACLE_SQL = r"""
