@@ -27,7 +27,7 @@ from .common import WS, materialize
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 SHARD_WORDS = 250_000
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 20
 BLOCK_WORDS = 4096
 LEAST_BLOCKS = 1 << 16
 
@@ -123,7 +123,9 @@ def mix(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
     fates = fates.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__t"), F.col("full").alias("__full"), F.col("pieces").alias("__pieces"))
     both = rows.join(fates, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")))
     words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*)"), 1)
-    part = F.btrim(F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(words, (p["start"] + 1).cast("int"), p["words"].cast("int")))), ""), F.lit(WS))
+    # the outer transform holds the words, so that they are split once and not for every piece
+    joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["words"].cast("int")))), ""))
+    part = F.btrim(F.get(joined, F.lit(0)), F.lit(WS))
     taken = F.concat(F.array_repeat("text", F.col("__full").cast("int")), F.when(F.col("__pieces").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
     out = both.withColumn("__one", F.explode(taken))
     return out.select(*[F.col("__one").alias("text") if c == "text" else F.char_length("__one").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
