@@ -23,8 +23,7 @@ from events"""
 
 EDGES = """
 select distinct concat('p', cast(a.l_partkey as varchar(20))) as from_id, concat('p', cast(b.l_partkey as varchar(20))) as to_id, 'CALL' as edge_type
-from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
-where a.l_suppkey % 10 = 0 and a.l_returnflag = 'R'"""
+from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1"""
 
 NODES = """
 select concat('p', cast(p_partkey as varchar(20))) as node_id, case when p_size % 10 = 0 then 'CALL' else 'METHOD' end as node_type, p_name as name,
