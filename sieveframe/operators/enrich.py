@@ -69,11 +69,20 @@ def coverage(surfaces: DataFrame, attributed: DataFrame) -> DataFrame:
     return n.withColumn("gap_percent", F.round(100 * X.ratio(F.col("n_surfaces") - F.col("n_attributed"), F.col("n_surfaces")), 6))
 
 
-def path_summary(paths: DataFrame) -> DataFrame:
-    """paths(surface_id, seq, sink_name, sink_file, sink_line, steps, sanitized)."""
-    g = paths.groupBy("surface_id").agg(F.array_sort(F.collect_list(F.struct("seq", "sink_name", "sink_file", "sink_line", "steps", "sanitized"))).alias("a"))
-    named = F.filter("a", lambda x: F.coalesce(x["sink_file"], F.lit("")) != "")
-    return g.select("surface_id", F.array_distinct(F.transform("a", lambda x: x["sink_name"])).alias("sinks"), F.flatten(F.transform("a", lambda x: x["steps"])).alias("steps"), F.forall("a", lambda x: F.coalesce(x["sanitized"], F.lit(False))).alias("sanitized"), F.get(named, F.lit(0))["sink_file"].alias("sink_file"), F.get(named, F.lit(0))["sink_line"].alias("sink_line"))
+def path_summary(paths: DataFrame, with_steps: bool = True) -> DataFrame:
+    """paths(surface_id, seq, sink_name, sink_file, sink_line, steps, sanitized).
+
+    Sinks in order of their first path, number of steps, whether all is sanitized, and the first named sink's place. Partial aggregates, so
+    that a surface with many paths is no large array; only ``with_steps``, whose result is one, collects all steps.
+    """
+    named = F.when(F.coalesce(F.col("sink_file"), F.lit("")) != "", F.struct("seq", "sink_name", "sink_file", "sink_line"))
+    by_sink = paths.groupBy("surface_id", "sink_name").agg(F.min(F.struct("seq")).alias("first"), F.sum(F.coalesce(F.array_size("steps"), F.lit(0))).alias("n"), F.bool_and(F.coalesce("sanitized", F.lit(False))).alias("clean"), F.min(named).alias("named"))
+    g = by_sink.groupBy("surface_id").agg(F.array_sort(F.collect_list(F.struct("first", "sink_name"))).alias("a"), F.sum("n").alias("n_steps"), F.bool_and("clean").alias("sanitized"), F.min("named").alias("named"))
+    out = g.select("surface_id", F.transform("a", lambda x: x["sink_name"]).alias("sinks"), "n_steps", "sanitized", F.col("named.sink_file").alias("sink_file"), F.col("named.sink_line").alias("sink_line"))
+    if not with_steps:
+        return out
+    steps = paths.groupBy(F.col("surface_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("seq", "sink_name", "sink_file", "sink_line", "steps", "sanitized"))).alias("a"))
+    return out.join(steps, F.col("surface_id").eqNullSafe(F.col("__id"))).select("surface_id", "sinks", F.flatten(F.transform("a", lambda x: x["steps"])).alias("steps"), "n_steps", "sanitized", "sink_file", "sink_line")
 
 
 def filter_sinks(surfaces: DataFrame) -> DataFrame:

@@ -591,10 +591,10 @@ def u06_distinct_union(t: Tables) -> DataFrame:
     return t.edges.select(F.col("from_id").alias("id")).union(t.edges.select("to_id")).distinct()
 
 
-@query("""with s as (select path, seq, cwe, line from findings where seq % 50 = 0) select path as surface_id, string_agg(cwe, ',' order by f) as sinks, cast(sum(n) as bigint) as n_steps from (select path, cwe, min(seq) as f, count(*) * 2 as n from s group by path, cwe) x group by path""")
+@query("""with s as (select path, seq, cwe, line from findings) select path as surface_id, string_agg(cwe, ',' order by f) as sinks, cast(sum(n) as bigint) as n_steps from (select path, cwe, min(seq) as f, count(*) * 2 as n from s group by path, cwe) x group by path""")
 def a20_path_summary(t: Tables) -> DataFrame:
-    p = t.findings.where("seq % 50 = 0").select(F.col("path").alias("surface_id"), "seq", F.col("cwe").alias("sink_name"), F.col("path").alias("sink_file"), F.col("line").alias("sink_line"), F.array(F.lit("a"), F.lit("b")).alias("steps"), F.lit(False).alias("sanitized"))
-    return enrich.path_summary(p).select("surface_id", F.array_join("sinks", ",").alias("sinks"), F.size("steps").cast("long").alias("n_steps"))
+    p = t.findings.select(F.col("path").alias("surface_id"), "seq", F.col("cwe").alias("sink_name"), F.col("path").alias("sink_file"), F.col("line").alias("sink_line"), F.array(F.lit("a"), F.lit("b")).alias("steps"), F.lit(False).alias("sanitized"))
+    return enrich.path_summary(p, with_steps=False).select("surface_id", F.array_join("sinks", ",").alias("sinks"), F.col("n_steps").cast("long").alias("n_steps"))
 
 
 @query("""with x as (select doc_id, text, lower(text) as low from documents), h as (

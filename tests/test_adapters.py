@@ -1,5 +1,6 @@
 """Adapters take whole tables: small tables whose every row counts."""
 
+from sieveframe.operators import enrich
 from sieveframe.plans import catalogue
 
 
@@ -16,3 +17,22 @@ def test_edges_take_every_line_item(spark, tmp_path):
     assert {(r.from_id, r.callees) for r in run("a23_call_graph")} == want
     assert {r.id for r in run("u06_distinct_union")} == {i for e in want for i in e}
     assert {(r.from_id, r.to_id) for r in run("snk02_edge_insert")} == want | {(b, a) for a, b in want}
+
+
+def test_path_summary_takes_every_finding(spark, tmp_path):
+    rows = [(k, 40 * (k % 2) + 2, ("view", "error", "click")[k // 2 % 3], float(k)) for k in range(1, 31)]
+    write(spark, tmp_path, "events", rows, "event_id long, user_id long, event_type string, value double")
+    cwe, want = {"view": "CWE-89", "error": "CWE-862", "click": "CWE-22"}, {}
+    for _, _, kind, _ in rows:  # users 2 and 42 share a file
+        want.setdefault(cwe[kind], None)
+    got = catalogue.QUERIES["a20_path_summary"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("src/m2.java", ",".join(want), 60)]
+
+
+def test_path_summary_order_and_steps(spark):
+    rows = [("s", 3, "b", "", 1, ["z"], True), ("s", 2, "b", "f2", 7, ["y", "w"], True), ("s", 1, "a", None, 5, ["x"], None), ("s", 4, "a", "f4", 9, None, True), (None, 1, None, "f", 2, [], True)]
+    p = spark.createDataFrame(rows, "surface_id string, seq long, sink_name string, sink_file string, sink_line int, steps array<string>, sanitized boolean")
+    got = {r.surface_id: tuple(r)[1:] for r in enrich.path_summary(p, with_steps=False).collect()}
+    assert got == {"s": (["a", "b"], 4, False, "f2", 7), None: ([None], 0, True, "f", 2)}
+    full = {r.surface_id: r.steps for r in enrich.path_summary(p.where("seq < 4")).collect()}
+    assert full == {"s": ["x", "y", "w", "z"], None: []}
