@@ -16,8 +16,10 @@ def cve_index(report: DataFrame) -> DataFrame:
     return report.withColumn("key", F.explode(F.array_distinct(F.array(F.col("package"), short)))).where("key != ''")
 
 
-def match_packages(surfaces: DataFrame, packages: DataFrame, max_packages: int = 50_000) -> DataFrame:
-    """surfaces(surface_id, file, code) × packages(key, cve, cvss) → surface_id, cve, cvss.
+def match_sets(surfaces: DataFrame, packages: DataFrame, max_packages: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """J11, J12 in two parts: surfaces(surface_id, file, code) × packages(key, cve, cvss) → (surface_id, keys) and (keys, cve, cvss).
+
+    Surfaces that meet the same set of names have the same CVEs, so these are found once for each set.
 
     A part of the file's path of at least four bytes contains or lies in the package's name, or the code's head holds it. Such a join has no
     key; distinct parts and names meet instead of rows, and names only by broadcast while they are few (a report lists one project's).
@@ -30,7 +32,15 @@ def match_packages(surfaces: DataFrame, packages: DataFrame, max_packages: int =
     via_path = parts.join(by_part, "part").select("surface_id", "key")
     heads = surfaces.select("surface_id", F.lower(F.substring("code", 1, 4096)).alias("head"))
     via_code = heads.join(few(keys.where((F.octet_length("key") < MAX_PACKAGE) & ~F.col("key").contains(":"))), F.col("head").contains(F.col("key"))).select("surface_id", "key")
-    return via_path.unionByName(via_code).distinct().join(names, "key").groupBy("surface_id", "cve").agg(F.max("cvss").alias("cvss"))
+    sets = via_path.unionByName(via_code).groupBy("surface_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    found = sets.select("keys").distinct().withColumn("key", F.explode("keys")).join(names, "key").groupBy("keys", "cve").agg(F.max("cvss").alias("cvss"))
+    return sets, found
+
+
+def match_packages(surfaces: DataFrame, packages: DataFrame, max_packages: int = 50_000) -> DataFrame:
+    """surface_id, cve, cvss."""
+    sets, found = match_sets(surfaces, packages, max_packages)
+    return sets.join(found, "keys").select("surface_id", "cve", "cvss")
 
 
 def best_cve(matches: DataFrame) -> DataFrame:

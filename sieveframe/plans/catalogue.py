@@ -334,7 +334,7 @@ def f09_test_files(t: Tables) -> DataFrame:
     return t.findings.groupBy("path").agg(F.bool_or(X.is_test_file(p)).alias("auto"), F.bool_or(X.is_scope_test(p)).alias("scope"), F.bool_or(X.is_pipeline_test(p)).alias("pipeline"))
 
 
-CVES = "select concat('CVE-', cast(p_partkey as varchar(9))) as cve, split_part(p_name, ' ', 2) as package, cast(p_size as double) / 5 as cvss from part where p_partkey % 97 = 0"
+CVES = "select concat('CVE-', cast(p_partkey as varchar(9))) as cve, split_part(p_name, ' ', 2) as package, cast(p_size as double) / 5 as cvss from part"
 CODE = "select concat('s', cast(p_partkey as varchar(9))) as surface_id, concat('lib/', p_name, '/', replace(p_brand, '#', ''), '.java') as file, concat('use ', p_type, ' ', p_name) as code from part"
 MATCHED = f"""k as (select distinct lower(package) as key, cve, cvss from ({CVES}) c), s as ({CODE}),
 parts as (select surface_id, unnest(string_split_regex(lower(file), '[/\\\\.]')) as part from s),
@@ -354,7 +354,9 @@ def j11_cve_packages(t: Tables) -> DataFrame:
 
 @query(f"with {MATCHED} select surface_id, string_agg(cve, ',' order by cvss desc, cve) as cves, round(max(cvss), 6) as top_cvss, max(cvss) >= 7 as auto_flagged, case when max(cvss) >= 9 then 'BLOCK' when max(cvss) >= 7 then 'HIGH' when max(cvss) >= 4 then 'MEDIUM' else 'LOW' end as severity from matched group by surface_id")
 def d27_best_cve(t: Tables) -> DataFrame:
-    return enrich.best_cve(_matches(t)).withColumn("top_cvss", F.round("top_cvss", 6))
+    sets, found = enrich.match_sets(t.sql(CODE), enrich.cve_index(t.sql(CVES)))
+    best = enrich.best_cve(found.withColumnRenamed("keys", "surface_id")).withColumnRenamed("surface_id", "keys")
+    return sets.join(best, "keys").drop("keys").withColumn("top_cvss", F.round("top_cvss", 6))
 
 
 @query(f"""with kev as (select distinct cve from findings where cve <> '' and seq % 3 = 0), e as (select cve, max(cast(seq % 100 as double) / 100) as epss from findings where cve <> '' and seq % 5 = 0 group by cve)

@@ -36,3 +36,14 @@ def test_path_summary_order_and_steps(spark):
     assert got == {"s": (["a", "b"], 4, False, "f2", 7), None: ([None], 0, True, "f", 2)}
     full = {r.surface_id: r.steps for r in enrich.path_summary(p.where("seq < 4")).collect()}
     assert full == {"s": ["x", "y", "w", "z"], None: []}
+
+
+def test_every_part_is_a_cve(spark, tmp_path):
+    rows = [(k, f"{a} {b}", "Brand#11", "TIN", k) for k, (a, b) in enumerate([("red", "ring"), ("blue", "gear"), ("red", "gear"), ("blue", "bolt")], 1)]
+    write(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    # by force: a name's second word is the package, and lies in the path of each part of that name
+    want = {(f"s{a[0]}", f"CVE-{b[0]}", b[4] / 5) for a in rows for b in rows if b[1].split()[1] in a[1]}
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in run("j11_cve_packages")} == want
+    got = {r.surface_id: (r.cves, r.top_cvss) for r in run("d27_best_cve")}
+    assert got == {"s1": ("CVE-1", 0.2), "s2": ("CVE-3,CVE-2", 0.6), "s3": ("CVE-3,CVE-2", 0.6), "s4": ("CVE-4", 0.8)}
