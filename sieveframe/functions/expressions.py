@@ -30,6 +30,8 @@ TAINT_LANGUAGES = {".java": "java", ".py": "python", ".js": "js", ".jsx": "js",
 AUTOMATABLE = ("20", "22", "77", "78", "79", "89", "90", "94", "200", "287", "306", "352", "400", "434", "502", "601", "611", "639", "918")
 IMPACT = {**dict.fromkeys(("77", "78", "89", "94", "120", "287", "306", "502", "611"), "Total"), **dict.fromkeys(("190", "200", "400", "918"), "Partial")}
 TRIAGE = (("PROBABLY_SAFE", 0.25), ("PROBABLY_VULNERABLE", 0.75), ("EXPLOITABLE", 1.0), ("UNCERTAIN", 0.5), ("SAFE", 0.0))
+ERROR_LEAKS = ("SQLException", "syntax error", "ORA-", "PSQLException", "stack trace", "at java.", "at org.springframework.")
+PROOF_LANGUAGES = ("java", "python", "javascript", "typescript", "go")
 SKIPPED_DIRS = (".git", "vendor", "node_modules", ".cache", "__pycache__", ".pytest_cache", ".venv", "venv")
 
 
@@ -67,6 +69,22 @@ def severity_rank(sev: Column) -> Column:
     return choose([(sev == s, F.lit(k)) for k, s in enumerate(SEVERITIES)], F.lit(len(SEVERITIES)))
 
 
+def proof_status(sev: Column, path: Column, least: str = "HIGH", languages: tuple[str, ...] = PROOF_LANGUAGES) -> Column:
+    """'' where a proof is worth an attempt, else why not; an unknown least severity counts as HIGH."""
+    least = least if least in SEVERITIES else "HIGH"
+    return choose([(severity_rank(sev) > SEVERITIES.index(least), F.lit("not_attempted")), (~language(path).isin(*languages), F.lit("language_unsupported"))], F.lit(""))
+
+
+def is_patchable(sev: Column) -> Column:
+    """F15."""
+    return F.coalesce(sev.isin("BLOCK", "HIGH"), F.lit(False))
+
+
+def leaked_error(status: Column, body: Column) -> Column:
+    """The first error detail that a 5xx response holds, which confirms the exploit; null without."""
+    return F.when(status >= 500, choose([(body.contains(w), F.lit(w)) for w in ERROR_LEAKS], F.lit(None).cast("string")))
+
+
 def finding_id(cwe: Column, path: Column, line: Column) -> Column:
     """D02."""
     return F.sha2(F.concat_ws(":", cwe, path, line.cast("string")), 256)

@@ -68,3 +68,27 @@ def flag_lines(files: DataFrame, table: DataFrame) -> DataFrame:
     r = table.select("rule_idx", F.col("language").alias("rl"), "name", "kind", F.concat(F.lit("\\Q"), F.col("needle"), F.lit("\\E\\s*\\(")).alias("rx"))
     hit = lines.join(F.broadcast(r), (F.col("language") == F.col("rl")) & F.expr("code rlike rx"))
     return hit.groupBy("path", (F.col("pos") + 1).alias("line")).agg(F.min_by("name", "rule_idx").alias("name"), F.min_by("kind", "rule_idx").alias("kind"))
+
+
+def taint_findings(paths: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """paths(language, source(kind, file, line, node_id), sink(same), steps, sanitized) as findings of confidence 0.75 at their sinks.
+
+    files(path, text) give the sink's line; without it, or beyond the text, the code is empty.
+    """
+    from ..functions import expressions as X
+
+    kind, at = F.col("sink.kind"), lambda end: F.concat(F.col(f"{end}.file"), F.lit(":"), F.col(f"{end}.line").cast("string"))
+    cwe = F.when((F.col("language") == "java") & (kind == "template"), F.lit("CWE-79")).otherwise(X.sink_cwe(kind))
+    code = F.lit("")
+    if files is not None:
+        paths = paths.join(files.select(F.col("path").alias("__path"), F.col("text").alias("__text")), F.col("sink.file") == F.col("__path"), "left")
+        line = F.when(F.col("sink.line") >= 1, F.get(F.split("__text", "\n"), F.col("sink.line") - 1))
+        code = F.coalesce(F.regexp_replace(line, r"^\s+|\s+$", ""), F.lit(""))
+    why = F.concat(F.lit("Taint flow from "), F.col("source.kind"), F.lit(" ("), at("source"), F.lit(") to sink "), kind, F.lit(" ("), at("sink"), F.lit(")"), F.when(F.col("sanitized"), F.lit(" [sanitized path]")).otherwise(F.lit("")))
+    n = F.coalesce(F.array_size("steps"), F.lit(0)).cast("string")
+    return paths.select(
+        F.col("sink.file").alias("path"), F.col("sink.line").alias("line"), cwe.alias("cwe"), F.lit(0.75).alias("conf"), F.lit("PATTERN").alias("src"), F.concat(F.lit("JOERN-TAINT-"), kind).alias("rule_id"), code.alias("matched_code"), why.alias("justification"),
+        F.lit("None").alias("exploitation"), F.when(kind.isin("sql", "command", "eval"), F.lit("Yes")).otherwise(F.lit("No")).alias("automatable"), F.when(kind.isin("sql", "command", "deserialization", "eval"), F.lit("Total")).otherwise(F.lit("Partial")).alias("technical_impact"),
+        F.col("source.node_id").alias("source_node"), F.col("sink.node_id").alias("sink_node"), F.concat(F.lit("source ("), at("source"), F.lit(") → sink ("), at("sink"), F.lit(") via "), n, F.lit(" intermediate nodes")).alias("path_summary"),
+        F.concat(F.lit("Untrusted input reaches "), kind, F.lit(" sink without validation")).alias("required_conditions"),
+    )

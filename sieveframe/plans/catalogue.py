@@ -607,6 +607,38 @@ def d24_crypto(t: Tables) -> DataFrame:
     return text.crypto_findings(t.documents.select(F.col("doc_id").alias("path"), "text"))
 
 
+PATHS = """select event_id, case user_id % 3 when 0 then 'java' when 1 then 'python' else 'go' end as language, case event_id % 8 when 0 then 'sql' when 1 then 'command' when 2 then 'deserialization' when 3 then 'file_write' when 4 then 'template' when 5 then 'redirect' when 6 then 'eval' else 'other' end as kind,
+  concat('src/m', cast(user_id as varchar(20))) as file, cast(event_id % 90 as int) + 1 as line, event_id % 4 = 0 as sanitized from events"""
+
+
+@query(f"""with p as ({PATHS}) select source_node, file as path, line, case when kind = 'template' and language = 'java' then 'CWE-79' else case kind when 'sql' then 'CWE-89' when 'command' then 'CWE-78' when 'deserialization' then 'CWE-502' when 'file_write' then 'CWE-22' when 'template' then 'CWE-1336' when 'redirect' then 'CWE-601' when 'eval' then 'CWE-94' else 'CWE-200' end end as cwe,
+  cast(0.75 as double) as conf, 'PATTERN' as src, concat('JOERN-TAINT-', kind) as rule_id, concat('Taint flow from http_param (in:1) to sink ', kind, ' (', file, ':', cast(line as varchar), ')', case when sanitized then ' [sanitized path]' else '' end) as justification from (select *, cast(event_id as varchar) as source_node from p) x""")
+def d21_taint_findings(t: Tables) -> DataFrame:
+    end = lambda kind, file, line: F.struct(kind.alias("kind"), file.alias("file"), line.alias("line"), F.col("event_id").cast("string").alias("node_id"))
+    p = t.sql(PATHS).select("language", end(F.lit("http_param"), F.lit("in"), F.lit(1)).alias("source"), end(F.col("kind"), F.col("file"), F.col("line")).alias("sink"), F.array(F.lit("a")).alias("steps"), "sanitized")
+    return taxonomy.taint_findings(p).select("source_node", "path", "line", "cwe", "conf", "src", "rule_id", "justification")
+
+
+RESPONSES = """select event_id, cast(case event_id % 3 when 0 then 500 when 1 then 503 else 404 end as int) as status, case event_id % 5 when 0 then 'x ORA-00933 y' when 1 then 'java.sql.SQLException: syntax error' when 2 then 'at java.lang' when 3 then 'fine' end as body from events"""
+
+
+@query(f"with r as ({RESPONSES}) select event_id, case when status >= 500 then case event_id % 5 when 0 then 'ORA-' when 1 then 'SQLException' when 2 then 'at java.' end end as leak, status >= 500 and event_id % 5 < 3 as confirmed from r")
+def d26_error_leaks(t: Tables) -> DataFrame:
+    leak = X.leaked_error(F.col("status"), F.col("body"))
+    return t.sql(RESPONSES).select("event_id", leak.alias("leak"), leak.isNotNull().alias("confirmed"))
+
+
+@query(f"with {SCORED}, x as (select seq, severity, case when seq % 4 = 0 then concat(path, '.rs') else path end as path from scored) select seq, case when severity not in ('BLOCK', 'HIGH') then 'not_attempted' when path like '%.rs' then 'language_unsupported' else '' end as status from x")
+def f14_proof_eligibility(t: Tables) -> DataFrame:
+    path = F.when(F.expr("seq % 4 = 0"), F.concat("path", F.lit(".rs"))).otherwise(F.col("path"))
+    return _scored(t).select("seq", X.proof_status(F.col("severity"), path).alias("status"))
+
+
+@query(f"with {SCORED} select seq, case when severity in ('BLOCK', 'HIGH') then '' else 'not_attempted' end as status from scored")
+def f15_patch_eligibility(t: Tables) -> DataFrame:
+    return _scored(t).select("seq", F.when(X.is_patchable(F.col("severity")), F.lit("")).otherwise(F.lit("not_attempted")).alias("status"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """After dedup and scoring: how many findings of each severity, and does the build fail?"""
     return QUERIES["a03_scan_summary"](spark, sf_dir)
