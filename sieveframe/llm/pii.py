@@ -52,10 +52,14 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63})+", re.I)
 _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _NATIONAL = re.compile(r"(?<![0-9+.\-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9-])")
+# French in pairs, Spanish mobile, and a trunk zero with an undivided rest as in German and British numbers
+_PAIRS = re.compile(r"(?<![0-9+.\-])0[1-9](?:[ .-]?[0-9]{2}){4}(?![0-9-])")
+_MOBILE = re.compile(r"(?<![0-9+.\-])[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}(?![0-9-])")
+_TRUNK = re.compile(r"(?<![0-9+.\-])\(?0[1-9][0-9]{1,3}\)?[ /-][0-9]{5,8}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{6,256})", re.I)
-_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,64})(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{6,}+)", re.I)
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,}+)(?![A-Za-z0-9])")
 _DIGIT = re.compile("[0-9]")
 _CUES = {
     "email": ("mail", "contact", "write", "address"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "pay", "credit"), "phone": ("tel", "phone", "call", "fax", "mobile", "cell", "contact", "whatsapp"),
@@ -115,7 +119,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     if ":" in text and text.count(":") > 1:
         out += [("ip", m.start(), m.end()) for m in _IPV6.finditer(text) if m.end() - m.start() > 3]
     if _DIGIT.search(text):
-        out += [("phone", m.start(), m.end()) for m in _NATIONAL.finditer(text)]
+        out += [("phone", m.start(), m.end()) for p in (_NATIONAL, _PAIRS, _MOBILE, _TRUNK) for m in p.finditer(text)]
         out += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text)]
         out += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
     if any(k in low for k in ("pass", "pwd", "secret", "token", "key")):
@@ -165,17 +169,19 @@ def _examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     makers = (
         ("email", 1, lambda: f"{w()}.{w()} (at) {w()} (dot) {r.choice(('com', 'org', 'de'))}"), ("email", 1, lambda: f"{w()} [at] {w()}.com"), ("email", 0, lambda: f"{w()} (at) {w()}.{d(1)}"), ("email", 0, lambda: f"{w()} [at] {w()}. {w().title()}"),
         ("ip", 1, lambda: ":".join(h(4) for _ in range(8))), ("ip", 1, lambda: f"2001:{h(3)}::{h(4)}"), ("ip", 0, lambda: f"{d(2)}:{d(2)}:{d(2)}"), ("ip", 0, lambda: f"{d(1)}:{d(1)}:{d(1)}"), ("ip", 0, lambda: "::".join(("std", "", ""))[5:] + "::"),
-        ("phone", 1, lambda: f"({d(3)}) {d(3)}-{d(4)}"), ("phone", 1, lambda: f"{d(3)}-{d(3)}-{d(4)}"), ("phone", 1, lambda: f"0{d(3)} {d(3)} {d(4)}"), ("phone", 0, lambda: f"{d(2)} {d(3)} {d(3)}"), ("phone", 0, lambda: f"{d(3)}.{d(3)}.{d(3)}"), ("phone", 0, lambda: f"{d(2)}-{d(3)}-{r.randint(1900, 2050)}"), ("phone", 0, lambda: f"{d(4)} {d(4)} {d(4)}"),
+        ("phone", 1, lambda: f"({d(3)}) {d(3)}-{d(4)}"), ("phone", 1, lambda: f"{d(3)}-{d(3)}-{d(4)}"), ("phone", 1, lambda: f"0{d(3)} {d(3)} {d(4)}"), ("phone", 1, lambda: f"0{r.randint(1, 9)}" + (sep := r.choice(" -")) + sep.join(d(2) for _ in range(4))), ("phone", 1, lambda: f"0{r.randint(10, 999)} {d(r.randint(6, 8))}"), ("phone", 1, lambda: f"6{d(2)} {d(2)} {d(2)} {d(2)}"), ("phone", 0, lambda: f"0{r.randint(100, 999)} {d(5)}"),
+        ("phone", 0, lambda: f"{d(2)} {d(3)} {d(3)}"), ("phone", 0, lambda: f"{d(3)}.{d(3)}.{d(3)}"), ("phone", 0, lambda: f"{d(2)}-{d(3)}-{r.randint(1900, 2050)}"), ("phone", 0, lambda: f"{d(4)} {d(4)} {d(4)}"),
         ("iban", 1, lambda: iban(True)), ("iban", 0, lambda: iban(False)), ("iban", 0, lambda: f"{r.choice(('SN', 'ID', 'PO'))}{d(2)}{a(8).upper()}"),
         ("ssn", 1, lambda: f"{r.randint(1, 665):03d}-{d(2)}-{r.randint(1, 9999):04d}"), ("ssn", 0, lambda: f"9{d(2)}-{d(2)}-{d(4)}"), ("ssn", 0, lambda: f"{d(3)} {d(2)} {d(4)}"),
-        ("secret", 1, lambda: h(r.randint(16, 40))), ("secret", 1, lambda: a(r.randint(12, 40))), ("secret", 1, lambda: "AKIA" + a(16).upper()), ("secret", 0, lambda: w() + w()), ("secret", 0, lambda: r.choice(("required", "changeme,", "<none>", "function(x)", "undefined", "self.token", "os.environ[x]"))),
+        ("secret", 1, lambda: h(r.randint(16, 40))), ("secret", 1, lambda: a(r.randint(12, 40))), ("secret", 1, lambda: "AKIA" + a(16).upper()), ("secret", 1, lambda: f"eyJ{a(r.randint(12, 40))}.{a(r.randint(60, 900))}.{a(43)}"), ("secret", 1, lambda: "sk-" + a(r.randint(20, 160))), ("secret", 0, lambda: ".".join(w() for _ in range(r.randint(4, 120)))),
+        ("secret", 0, lambda: w() + w()), ("secret", 0, lambda: r.choice(("required", "changeme,", "<none>", "function(x)", "undefined", "self.token", "os.environ[x]"))),
     )
     out = []
     for _ in range(n):
         kind, true, make = r.choice(makers)
         item = make()
         cue, anti = r.choice(_CUES[kind]), r.choice(_AGAINST)
-        if kind == "secret" and not item.startswith("AKIA"):
+        if kind == "secret" and not item.startswith(("AKIA", "sk-")):
             lead = f"{r.choice(('password', 'token', 'secret', 'api_key'))}{r.choice(('=', ': ', ' = '))}" + r.choice(("", '"'))
         elif true:
             lead = r.choice((f"{cue} ", f"{cue}: ", f"{w()} {cue} {w()} ", f"{w()} ", f"{w()} ") if kind != "ssn" else (f"{cue} ", f"{cue}: ", f"{w()} "))

@@ -235,6 +235,20 @@ def test_pii_model_on_unseen_examples():
     assert true[chosen].mean() > 0.95 and chosen[true].mean() > 0.9
 
 
+def test_pii_long_secrets_and_national_phones():
+    forest, limits = pii.model()
+    r = random.Random(8)
+    mixed = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    for item, lead in ((mixed(600), 'token = "'), (f"eyJ{mixed(30)}.{mixed(900)}.{mixed(43)}", "token: "), ("sk-" + mixed(150), "we use "), (mixed(100_000), "secret=")):
+        t = f'then {lead}{item}" and more'
+        spans = pii.find_all([t], forest, limits)[0]
+        assert [(s.kind, s.start, s.end) for s in spans] == [("secret", 5 + len(lead), 5 + len(lead) + len(item))] and item[-20:] not in pii.redact(t, spans)
+    for item in ("06 12 34 56 78", "06-12-34-56-78", "030 1234567", "0171 12345678", "612 34 56 78"):
+        t = f"please call {item} today"
+        assert [(s.kind, s.start, s.end) for s in pii.find_all([t], forest, limits)[0]] == [("phone", 12, 12 + len(item))]
+    assert pii.candidates("sk-" * 100_000 + "token=" * 50_000 + "0" * 300_000) is not None  # linear
+
+
 def test_pii_operator(spark):
     texts = ["mail a.b@c.org or call +49 30 1234567", None, "", "pay with 4111 1111 1111 1111 now", "password=4dfb7fed7a8db0a2fe then", "host 10.0.0.1."]
     rows = [(k, t, None, None, 0) for k, t in enumerate(texts)] + [(None, texts[0], None, None, 0)]
