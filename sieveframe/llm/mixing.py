@@ -4,9 +4,9 @@
 2. Targets: sources in code point order (null last) get the weights in turn; together they take ``share`` of all words;
    a target stops at ``cap`` times its source, the excess goes to the others by weight. In closed form: with sources
    sorted by size / weight, the first k are at their cap for the smallest k that lets the rest stay below theirs.
-3. Each source's words are cut into shards (by a seeded hash of the document) and these into blocks of equal tokens.
-   Blocks go first to sources by target, then to a source's shards by size, each to the highest quotient
-   v / (2 s + 1). Only quotients that can be near the last seat are made: with n parties, N seats and a share p of
+3. Words go first to sources by target. Each source's words are cut into shards (by a seeded hash of the document) and these
+   into blocks of equal tokens, at least ``SOURCE_BLOCKS`` to a source (or one a word), so that small sources have small ones. Blocks go to
+   a source's shards by size. Both times each seat goes to the highest quotient v / (2 s + 1). Only quotients that can be near the last seat are made: with n parties, N seats and a share p of
    the votes, the seats are within p * n / 2 + 1 of p * N, so all candidates together are a few for each party.
 4. A shard's quota of q of its n blocks takes every block q div n times and q mod n more, chosen by a seeded hash.
 
@@ -30,6 +30,7 @@ SHARD_WORDS = 250_000
 MAX_SHARDS = 1 << 20
 BLOCK_WORDS = 4096
 LEAST_BLOCKS = 1 << 16
+SOURCE_BLOCKS = 1 << 12
 
 
 def n_words(text: Column) -> Column:
@@ -85,16 +86,17 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     """
     sizes = materialize(docs.select(*[F.col(c) for c in keep], F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
     per = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
-    # equal-token blocks, small enough for LEAST_BLOCKS of them
     total = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("want")).first()
-    block = max(1, min(BLOCK_WORDS, total["all"] // LEAST_BLOCKS))
-    seats = per.withColumn("__all", F.lit(0)).withColumn("__seats", F.lit(round(total["want"] / block)).cast("long"))
-    quotas = apportion(seats, ["__all"], ["rank"], "target", "__seats").select("source", "rank", "source_size", "target", F.col("quota").alias("source_quota"), F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long").alias("n_shards"))
+    # equal-token blocks, small enough for LEAST_BLOCKS of them, and for SOURCE_BLOCKS of each source
+    block = F.greatest(F.lit(1).cast("long"), F.least(F.lit(min(BLOCK_WORDS, total["all"] // LEAST_BLOCKS)).cast("long"), F.floor(F.col("source_size") / SOURCE_BLOCKS)))
+    seats = per.withColumn("__all", F.lit(0)).withColumn("__seats", F.lit(round(total["want"])).cast("long"))
+    quotas = apportion(seats, ["__all"], ["rank"], "target", "__seats").withColumn("block", block)
+    quotas = quotas.select("source", "rank", "source_size", "target", "block", F.round(F.col("quota") / F.col("block")).cast("long").alias("source_quota"), F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long").alias("n_shards"))
     quotas = materialize(quotas)
     dealt = sizes.join(quotas.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "inner").drop("__source").withColumn("shard", F.pmod(seeded(seed, F.col("doc_id")), F.col("n_shards")))
-    shards = dealt.groupBy("rank", "shard", "source_quota").agg(F.sum("size").alias("words"))
+    shards = dealt.groupBy("rank", "shard", "source_quota", "block").agg(F.sum("size").alias("words"))
     filled = apportion(shards, ["rank"], ["shard"], "words", "source_quota")
-    n = F.ceil(F.col("words") / block)
+    n = F.ceil(F.col("words") / F.col("block"))
     filled = filled.withColumn("n_blocks", n).withColumn("quota", F.least("quota", F.floor(F.lit(cap) * n)))
     filled = materialize(filled.select("rank", "shard", "n_blocks", F.when(F.col("n_blocks") > 0, F.floor(F.col("quota") / F.col("n_blocks"))).otherwise(0).alias("full"), F.when(F.col("n_blocks") > 0, F.pmod("quota", "n_blocks")).otherwise(0).alias("more")))
     blocks = filled.where("more > 0").select("rank", "shard", "more", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
@@ -103,7 +105,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     line = Window.partitionBy("rank", "shard").orderBy(seeded(seed + 2, F.col("doc_id")), "doc_id", "size")
     placed = dealt.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     out = placed.join(fates, ["rank", "shard"], "left").withColumn("start", F.col("end") - F.col("size"))
-    b = F.lit(block)
+    b = F.col("block")
     # the chosen blocks that meet the run of words from start to end, by their numbers' places in the sorted list
     touched = F.when((F.col("size") > 0) & F.col("chosen").isNotNull(), F.filter("chosen", lambda k: (k * b < F.col("end")) & ((k + 1) * b > F.col("start"))))
     pieces = F.transform(touched, lambda k: F.struct((F.greatest(k * b, F.col("start")) - F.col("start")).alias("start"), (F.least((k + 1) * b, F.col("end")) - F.greatest(k * b, F.col("start"))).alias("words")))

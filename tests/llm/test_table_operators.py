@@ -220,3 +220,10 @@ def test_toxicity_flag_agrees_with_scores(spark):
     df = docs(spark, rows)
     model, vectors = toxicity.train(df.select("doc_id", "text"), labels)
     assert {(r.doc_id, r.predicted) for r in toxicity.apply(model, vectors).collect()} == {(r.doc_id, r["__predicted"]) for r in toxicity.flag(model, df).collect()}
+
+
+def test_mixing_small_sources_with_blocks_of_production_size(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 1)  # as if the corpus had 268 million words: blocks of BLOCK_WORDS
+    rows = [(k, "w " * 100, "en", source, 200) for source, lo, n in (("a", 0, 900), ("b", 1000, 50), ("c", 2000, 8)) for k in range(lo, lo + n)]
+    got = mixing.plan(docs(spark, rows)).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(got) == 3 and all(abs(g.taken - g.target) <= max(2, 0.002 * g.target) for g in got)
