@@ -260,3 +260,82 @@ def test_pii_operator(spark):
     assert got[0].n_email == 1 and got[0].n_phone == 1 and got[3].n_card == 1 and got[5].n_ip == 1 and "secret:9:27" in got[4].spans
     assert pii.redact(texts[0], pii.base_spans(texts[0])) == "mail <email> or call <phone>"
     assert pii.find_pii(docs(spark, [])).count() == 0
+
+
+# HTML found in the wild ------------------------------------------------------------------------------------------------
+PARAGRAPHS = "".join(f"<p>{'A long paragraph of plain words that says a good deal. ' * 9}</p>" for _ in range(3))
+
+
+@pytest.mark.parametrize("wrapper", ['div id="page" class="has-sidebar"', 'div class="layout-no-sidebar"', 'div class="post with-comments"', 'div class="content-tags"', 'div class="print-area"', 'div class="related-work"', 'div class="article-share-wrap"', 'div class="alert-page"', 'form id="aspnetForm"', "aside", "span"])
+def test_html_wrappers_keep_the_article(wrapper):
+    tail = "" if wrapper == "aside" else f"</{wrapper.split()[0]}>"
+    want = html_text.extract(f"<body><div>{PARAGRAPHS}</div></body>")
+    assert len(want) > 1000 and html_text.extract(f"<html><body><{wrapper}>{PARAGRAPHS}{tail}</body></html>") == want
+
+
+def test_html_names_around_an_article():
+    noise = "<p>" + "Some words by a reader that go on for long. " * 100 + "</p>"
+    for other in (f"<section id=comments>{noise}</section>", f"<div class='sidebar'>{noise}</div>", f"<div class='cookie-notice'>{noise}</div>", f"<footer>{noise}</footer>", f"<form>{noise}</form>"):
+        got = html_text.extract(f"<body><article><header><h1>Title</h1></header><div>{PARAGRAPHS}</div><p>The end.</p></article>{other}</body>")
+        assert got.startswith("Title\nA long") and got.endswith("The end.") and "reader" not in got, other
+    assert html_text.extract(f"<head><title>t</title><p>{'x ' * 80}") == " ".join("x" * 80)  # a head without end
+    assert html_text.extract("<p>a&nbsp;b　c\x0bd</p>") == "a b c d"
+
+
+def test_html_time_is_linear():
+    import time
+
+    for part, n in (("<a ", 340_000), ('<a href="x ', 90_000), ("<", 500_000), ("<span>", 50_000), ("<b><div>", 50_000), ("<li>", 100_000), ("<!--", 200_000), ("<div class=ad>", 50_000)):
+        start = time.process_time()
+        html_text.extract(part * n + "</b>" * 20_000)
+        assert time.process_time() - start < 15, part
+
+
+def tree_by_force(html):
+    """(tag, children) by walking the whole stack for every tag."""
+    root = ("html", [])
+    stack, at = [root], 0
+    for m in re.finditer(r"<(/?)([a-z0-9]+)>", html):
+        if m.start() > at:
+            stack[-1][1].append(html[at : m.start()])
+        at, tag = m.end(), m[2]
+        walk = list(range(len(stack) - 1, 0, -1))
+        if m[1]:
+            for k in walk:
+                if stack[k][0] == tag:
+                    del stack[k:]
+                    break
+                if tag not in html_text.BLOCK and stack[k][0] in html_text.BLOCK:
+                    break
+            continue
+        if tag in html_text._CLOSES_P:
+            k = next((k for k in walk if stack[k][0] in html_text.BLOCK), None)
+            if k and stack[k][0] == "p":
+                del stack[k:]
+        if tag in html_text._SIBLING:
+            names, stops = html_text._SIBLING[tag]
+            low = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in stops), 0)
+            k = next((k for k in range(low + 1, len(stack)) if stack[k][0] in names), None)
+            if k:
+                del stack[k:]
+        node = (tag, [])
+        stack[-1][1].append(node)
+        if tag not in html_text.VOID:
+            stack.append(node)
+    if at < len(html):
+        stack[-1][1].append(html[at:])
+    return root
+
+
+def test_html_tree_matches_brute_force():
+    r = random.Random(12)
+    plain = lambda x: x if isinstance(x, str) else (x.tag, [plain(c) for c in x.children])
+    tags = ["p", "div", "b", "span", "li", "ul", "td", "tr", "table", "dt", "dd", "dl", "br", "article", "nav", "h1"]
+    for _ in range(1500):
+        html = "".join(r.choice((f"<{r.choice(tags)}>", f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", "text ")) for _ in range(r.randint(1, 40)))
+        assert plain(html_text.parse(html)) == tree_by_force(html), html
+
+
+def test_html_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>some text</p>", "x", 3)] * 2, "page_id int, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract_text(df).collect()] == [(1, "u", "some text", 9)] * 2
