@@ -6,7 +6,8 @@ and one that lies within the words of a detection already taken is suppressed. B
 engine, are never suppressed, and suppress nothing but detections of their own label.
 
 Defined results: null and empty texts have no words, no detection, score 0; rows with a null id are scanned
-like others; repeated rows get equal results. Texts are scanned whole.
+like others; repeated rows get equal results; other columns, whatever their names, are ignored; an empty table gives an
+empty result. Texts are scanned whole; the time for overlapping detections grows with their number, not its square.
 """
 
 from __future__ import annotations
@@ -107,14 +108,23 @@ def scan(text: str | None) -> tuple[int, list[Detection]]:
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Interval containment: by priority, drop what lies within a detection that is kept."""
-    kept = [d for d in found if d.base]
-    own = {d.label: [x for x in kept if x.label == d.label] for d in kept}
-    rest: list[Detection] = []
-    for d in sorted((d for d in found if not d.base), key=lambda d: (-d.priority, d.first - d.last, d.first)):
-        if not any(k.first <= d.first and d.last <= k.last for k in [*rest, *own.get(d.label, ())]):
-            rest.append(d)
-    return sorted([*kept, *rest], key=lambda d: (d.first, d.last, d.label))
+    """Interval containment: drop what lies within a detection of higher priority, or of its own that is longer or found before.
+
+    Base detections stay, and hide only others of their own label. One sweep by first word: of what began so far, the furthest last word by
+    priority (and of base detections by label) tells whether a detection lies within another.
+    """
+    kept: list[Detection] = []
+    far: dict[int, int] = {}
+    own: dict[str, int] = {}
+    for d in sorted(found, key=lambda d: (d.first, -d.last, not d.base, -d.priority)):
+        if d.base:
+            own[d.label] = max(own.get(d.label, -1), d.last)
+        elif own.get(d.label, -1) >= d.last or any(p >= d.priority and last >= d.last for p, last in far.items()):
+            continue
+        else:
+            far[d.priority] = max(far.get(d.priority, -1), d.last)
+        kept.append(d)
+    return sorted(kept, key=lambda d: (d.first, d.last, d.label))
 
 
 def score(found: list[Detection]) -> float:

@@ -4,13 +4,15 @@ Base spans (email, ip, card, phone by the patterns of the contract) always stay.
 addresses, IPv6, national phone numbers, account numbers (iban), social security numbers (ssn) and credentials (secret),
 overlapping as they may. A forest scores each candidate by its format (digits, groups, check sums, mix of characters) and
 its context (words before it, what adjoins it); per kind, a threshold calibrated for ``PRECISION`` selects. Of candidates that
-overlap the better one stays, and none stays that meets a base span.
+overlap the better one stays, and none stays that meets a base span, unless it holds more than that whole span (a key whose
+digits happen to pass for a card number).
 
 No table labels personal data, so the forest learns from ``EXAMPLES`` generated sentences, seeded: true items and look-alikes (dates,
 versions, prices, order numbers, hashes, times, ratios). A fifth of them is held out to calibrate thresholds.
 
 Positions are code points, end exclusive. Defined results: null and empty texts have no spans; rows with a null id are read
-like others; repeated rows get equal results; an empty table gives an empty result. Texts are read whole, in linear time.
+like others; repeated rows get equal results; other columns, whatever their names, are ignored; an empty table gives an empty result. Texts are
+read whole, in time linear but for sorting.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
@@ -97,7 +100,7 @@ def base_spans(text: str) -> list[Span]:
             at = text.find("@", done if m else at + 1)
     if _DIGIT.search(text):
         if "." in text:
-            out += [Span("ip", m.start(), m.end(), True, 1.0) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+            out += [Span("ip", m.start(), m.end(), True, 1.0) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or "0") <= 255 for p in m.group().split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = m.group().replace(" ", "").replace("-", "")
@@ -209,10 +212,24 @@ def model(n: int = EXAMPLES, seed: int = SEED, precision: float = PRECISION) ->
 
 
 def select(base: list[Span], scored: list[Span], thresholds: dict[str, float]) -> list[Span]:
-    """Base spans, and of the others those above their threshold that meet no better one."""
+    """Base spans, and of the others those above their threshold that meet no better one, nor a base span but in whole and as a part."""
+    low, high = [], []  # base spans, merged
+    for s in sorted(base, key=lambda s: s.start):
+        if high and s.start < high[-1]:
+            high[-1] = max(high[-1], s.end)
+        else:
+            low.append(s.start)
+            high.append(s.end)
+    starts, ends = [], []  # of what else is taken: disjoint, ascending
     kept = list(base)
     for s in sorted((s for s in scored if s.score >= thresholds[s.kind]), key=lambda s: (-s.score, s.start, -s.end, s.kind)):
-        if all(s.end <= k.start or k.end <= s.start for k in kept):
+        first, behind = bisect_right(high, s.start), bisect_left(low, s.end)
+        if first < behind and (low[first] < s.start or high[behind - 1] > s.end or (low[first], high[behind - 1]) == (s.start, s.end)):
+            continue
+        at = bisect_right(ends, s.start)  # the first that ends after it starts
+        if at == len(starts) or s.end <= starts[at]:
+            starts.insert(at, s.start)
+            ends.insert(at, s.end)
             kept.append(s)
     return sorted(kept, key=lambda s: (KINDS.index(s.kind), s.start, s.end))
 

@@ -339,3 +339,53 @@ def test_html_tree_matches_brute_force():
 def test_html_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>some text</p>", "x", 3)] * 2, "page_id int, url string, html string, text string, n_chars int")
     assert [tuple(r) for r in html_text.extract_text(df).collect()] == [(1, "u", "some text", 9)] * 2
+
+
+# many detections in one text --------------------------------------------------------------------------------------------
+def test_license_containment_matches_brute_force():
+    r = random.Random(21)
+    for _ in range(1500):
+        found = [licenses.Detection(r.choice("abc"), 100 if base else r.choice((40, 50, 60)), first := r.randrange(12), first + r.randrange(6), base) for base in (r.random() < 0.2 for _ in range(r.randrange(14)))]
+        want = [d for d in found if d.base]
+        rest = []
+        for d in sorted((d for d in found if not d.base), key=lambda d: (-d.priority, d.first - d.last, d.first)):
+            if not any(k.first <= d.first and d.last <= k.last for k in [*rest, *(k for k in want if k.label == d.label)]):
+                rest.append(d)
+        assert sorted(licenses.resolve(found)) == sorted(want + rest)
+
+
+def test_license_very_many_detections(spark):
+    import time
+
+    start = time.process_time()
+    n, found = licenses.scan("Licensed under the MIT License. " * 50_000)
+    assert n == 250_000 and sum(d.base for d in found) == 50_000 and time.process_time() - start < 20
+    assert licenses.scan_licenses(docs(spark, [])).count() == 0
+
+
+def test_pii_selection_matches_brute_force():
+    r = random.Random(22)
+    limits = dict.fromkeys(pii.KINDS, 0.5)
+    for _ in range(1500):
+        spans = [pii.Span(r.choice(pii.KINDS), s := r.randrange(40), s + r.randint(1, 8), r.random() < 0.2, r.choice((0.4, 0.6, 0.7, 0.8))) for _ in range(r.randrange(15))]
+        base, kept = [s for s in spans if s.base], []
+        for s in sorted((s for s in spans if not s.base and s.score >= 0.5), key=lambda s: (-s.score, s.start, -s.end, s.kind)):
+            met = [k for k in base if k.start < s.end and s.start < k.end]
+            apart = all(s.start <= k.start and k.end <= s.end for k in met) and (not met or max(k.end for k in met) - min(k.start for k in met) < s.end - s.start)
+            if apart and all(s.end <= k.start or k.end <= s.start for k in kept):
+                kept = [*kept, s]
+        kept = base + kept
+        assert sorted(pii.select(base, [s for s in spans if not s.base], limits)) == sorted(kept)
+
+
+def test_pii_hostile_texts(spark):
+    import time
+
+    forest, limits = pii.model()
+    zeros = "0" * 5000 + "1.2.3.4"
+    found = pii.digest(pii.find_pii(docs(spark, [(1, zeros, None, None, 0), (2, "1." + "0" * 6000 + "7.2.3", None, None, 0), (3, "9" * 6000 + ".1.1.1", None, None, 0)]))).collect()
+    assert {g.doc_id: g.n_ip for g in found} == {1: 1, 2: 1, 3: 0}
+    many = [pii.Span("phone", k * 10, k * 10 + 12, False, 0.999 + (k * 7919 % 1000) / 1_000_000) for k in range(100_000)]
+    start = time.process_time()
+    assert len(pii.select([], many, limits)) > 30_000 and time.process_time() - start < 5
+    assert len(pii.find_all(["+49 30 1234567, call (212) 555-0100; " * 10_000], forest, limits)[0]) == 20_000
