@@ -37,31 +37,70 @@ def test_connected_components(spark):
 
 
 # 3: n-gram join ------------------------------------------------------------------------------------------------------
+def links_by_force(rows):
+    """(doc_id, n_links, component_id, kept) of each row, rows being the nodes."""
+    sets = [set(ngram_join.shingles(t).tolist()) if i is not None else set() for i, t, *_ in rows]
+    n, links = Counter(), []
+    for x in range(len(sets)):
+        for y in range(x):
+            if sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                n[x] += 1
+                n[y] += 1
+                links.append((x, y))
+    comp = forest(range(len(sets)), links)
+    head, first = {}, {}
+    for x, (i, t, *_) in enumerate(rows):
+        if sets[x]:
+            head[comp[x]] = min(head.get(comp[x], i), i)
+    for x, (i, t, *_) in enumerate(rows):
+        if sets[x] and head[comp[x]] == i:
+            first.setdefault(comp[x], set()).add(t)
+    return Counter((i, n[x], head[comp[x]] if sets[x] else i) for x, (i, *_) in enumerate(rows)), [(head[c], t) for c, t in first.items()], links
+
+
 def test_ngram_join_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 400)  # several blocks to a cluster
+    monkeypatch.setattr(ngram_join, "MEMBERS", 7)
+    monkeypatch.setattr(ngram_join, "BUCKET", 5)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 20)  # many hot keys
     rows = corpus(25)
     base = words(500, 120)
     for k in range(30):  # a group of near copies, all different
         w = list(base)
         w[10 + k] = f"x{k}"
         rows.append((1000 + k, " ".join(w), "en", "s", 1))
-    sets = [(i, set(ngram_join.shingles(t).tolist())) for i, t, *_ in rows]
-    n, links = Counter(), []
-    for x in range(len(sets)):
-        for y in range(x):
-            (i, a), (j, b) = sets[x], sets[y]
-            if i is not None and j is not None and a and b and len(a & b) >= 0.8 * len(a | b):
-                n[x] += 1
-                n[y] += 1
-                links.append((i, j))
-    comp = forest({i for i, _ in sets if i is not None}, links)
-    want = Counter((i, n[x], comp.get(i), i is None or comp[i] == i) for x, (i, _) in enumerate(sets))
+    rows += [(2000, " ".join(base), "en", "s", 1)] * 70  # many copies
+    x, y, z = (" ".join(words(600 + k, 90)) for k in range(3))
+    near = lambda t: t.replace(t.split()[45], "other", 1)
+    # one id, several texts: near copies of different documents, and one that is no copy at all
+    rows += [(3001, x, "en", "s", 1), (3001, y, "en", "s", 1), (3002, near(x), "en", "s", 1), (3003, near(y), "en", "s", 1), (3005, z, "en", "s", 1), (3005, x.upper(), "en", "s", 1), (3006, x, "en", "s", 1), (3006, x.upper(), "en", "s", 1)]
+    want, first, links = links_by_force(rows)
     got = ngram_join.near_duplicates(docs(spark, rows)).collect()
-    assert Counter((g.doc_id, g.n_links, g.component_id, g.kept) for g in got) == want
-    assert sum(n.values()) > 800
+    assert Counter((g.doc_id, g.n_links, g.component_id) for g in got) == want
+    assert len(links) > 800
+    by = {(g.doc_id, g.text_hash): g.kept for g in got}
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t, *_ in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    for head, texts_of in first:  # one row, or equal rows, of each component
+        assert sum(by[(head, hashes[t])] for t in texts_of) == 1
+    assert sum(by.values()) == len(first) + len({(i, t or "") for i, t, *_ in rows if i is None or not (t or "").split()})
+    assert by[(3005, hashes[z])] and not by[(3005, hashes[x.upper()])] and by[(3001, hashes[x])] and by[(3001, hashes[y])] and not by[(3006, hashes[x])]
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_ngram_join_units_stay_small(spark, monkeypatch):
+    """A cluster of very many short texts is dealt over many units."""
+    base = words(501, 40)
+    rows = [(k, " ".join([*base[: k % 35], f"x{k}", *base[k % 35 :]]), "en", "s", 1) for k in range(1200)]
+    monkeypatch.setattr(ngram_join, "MEMBERS", 100)
+    sizes = []
+    real = ngram_join.cluster_links
+    monkeypatch.setattr(ngram_join, "cluster_links", lambda loaded, *a: (sizes.append(loaded.groupBy("cluster", "block").count().agg(F.max("count"), F.count("*")).first()), real(loaded, *a))[1])
+    got = ngram_join.near_duplicates(docs(spark, rows))
+    want, _, _ = links_by_force(rows)
+    assert Counter((g.doc_id, g.n_links, g.component_id) for g in got.collect()) == want
+    assert sizes[0][0] < 200 and sizes[0][1] >= 10
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     need = ngram_join.least_matches(96, 0.8, 1e-6)
     assert list(need) == sorted(need) and need[0] >= 1 and need[-1] < 0.8 * 96
