@@ -1,7 +1,8 @@
 """A corpus pipeline of five of the training-data operators, from ``documents`` to token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, and further columns, whatever their names, as they are. Texts of any length
+are worked on whole; an empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -16,31 +17,45 @@ from sieveframe.llm.common import ensure_checkpoint_dir, read, texts
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples call toxic go; all others stay as they are."""
+    """Documents that the nearest labelled examples call toxic go; all others stay as they are.
+
+    Null and empty texts have no terms and stay, as rows with a null doc_id do unless their text is toxic. Repeated rows go or stay
+    together. Without labels nothing goes.
+    """
     model, _ = toxicity.train(texts(docs), read(spark, sf_dir, "labels"))
     return toxicity.flag(model, docs).where("__predicted = 0").drop("__predicted")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go; every document stays, if need be with an empty text."""
+    """Lines that an earlier document holds go; every document stays, if need be with an empty text (so does one with a null text).
+
+    Rows with a null doc_id keep all their lines. Repeated rows are one document and lose the same lines.
+    """
     new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
     out = linededup.dedup_lines(docs, keep=tuple(c for c in docs.columns if c not in new))
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near copies stays."""
-    gone = ngram_join.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the document of the smallest doc_id stays; rows equal in doc_id and text are one document.
+
+    Texts without words and rows with a null doc_id are no copies of anything and stay. Rows with one doc_id and different texts are
+    different documents: they go or stay each for itself.
+    """
+    gone = ngram_join.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__th")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them, partly taken ones with the words taken."""
+    """Documents as often as the mixture takes them, partly taken ones with the words taken.
+
+    Texts without words are taken 0 times. A null source is a source of its own. Repeated rows and rows with null or repeated ids count each for themselves.
+    """
     return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, n_bytes and ids of each row."""
+    """doc_id, lang, source, n_tokens, n_bytes and ids of each row; null and empty texts have no ids."""
     return sentencepiece.encode(docs, keep=("lang", "source")).select("doc_id", "lang", "source", "n_tokens", "n_bytes", "ids")
 
 
