@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -26,6 +26,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of so many light rows at most (counted before) may be broadcast.
+LIGHT = 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to one row for each group, which is broadcast if a count shows it to be small enough."""
+    groups = materialize(groups)
+    return rows.join(F.broadcast(groups) if groups.count() <= LIGHT else groups, on)
+
+
+def in_order(df: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
+    """df with ``__rank`` (from 0) in a total order and, for each column in ``sums``, ``__to_<name>``: its sum up to and with the row.
+
+    A range-partitioned sort numbers the rows within partitions; one row for each partition tells what lies before it. No task holds all rows.
+    """
+    rows = materialize(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftright("__id", 33).cast("int")).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
+    per = rows.groupBy("__part").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__of_{c}") for c in sums])
+    above = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = per.select("__part", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(f"__of_{c}").over(above), F.lit(0)).alias(f"__of_{c}") for c in sums])
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(F.broadcast(before), "__part").select(*df.columns, (F.col("__n") + F.col("__at")).alias("__rank"), *[(F.col(f"__of_{c}") + F.sum(c).over(within)).alias(f"__to_{c}") for c in sums])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -40,12 +64,10 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[list], Iterable[tuple]]
 
     ``rows`` gets the columns as Python lists and yields output tuples in the order of ``schema``.
     """
-    spark = df.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    del spark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

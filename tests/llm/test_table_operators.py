@@ -185,6 +185,39 @@ def targets_by_force(sizes):
         full |= over
 
 
+def test_mixing_takes_equal_rows_each(spark):
+    """Equal rows, null ids and one id with several texts: each row has its share, in the plan and in the mixture."""
+    rows = [(1, "a b c d e f g h", "en", "s", 1)] * 9000 + [(None, f"w{k} x y", None, "t", 1) for k in range(400)] + [(7, f"v{k} x y z", None, None, 1) for k in range(300)] + [(None, None, None, "t", 0)] * 50
+    df = docs(spark, rows)
+    got = mixing.plan(df, shard_words=500).collect()
+    assert len(got) == len(rows) and all(0 <= g.taken <= 2 * g.size for g in got)
+    taken, want = Counter(), {g.source: g.target for g in got}
+    for g in got:
+        taken[g.source] += g.taken
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 5 for s in want)
+    out = Counter()
+    for r in mixing.mix(df, shard_words=500).collect():
+        out[(r.doc_id, r.source)] += len(r.text.split())
+    per = Counter()
+    for g in got:
+        per[(g.doc_id, g.source)] += g.taken
+    assert out == +per
+
+
+def test_mixing_very_many_sources(spark):
+    rows = [(k, "a b c " * (k % 7), None, f"host{k % 900}", 0) for k in range(3000)]
+    got = mixing.plan(docs(spark, rows)).collect()
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = targets_by_force(sizes)
+    taken = Counter()
+    for g in got:
+        assert abs(g.target - want[g.source]) < 1e-6
+        taken[g.source] += g.taken
+    assert all(abs(taken[s] - want[s]) <= 2 for s in sizes)
+
+
 def test_mixing(spark, monkeypatch):
     rows = corpus() + [(5000 + k, " ".join(words(k, 300)), "en", "huge", 1) for k in range(60)] + [(6000, None, "en", "empty", 0)]
     df = docs(spark, rows)
@@ -261,8 +294,7 @@ def test_toxicity_flag_agrees_with_scores(spark):
     assert {(r.doc_id, r.predicted) for r in toxicity.apply(model, vectors).collect()} == {(r.doc_id, r["__predicted"]) for r in toxicity.flag(model, df).collect()}
 
 
-def test_mixing_small_sources_with_blocks_of_production_size(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 1)  # as if the corpus had 268 million words: blocks of BLOCK_WORDS
+def test_mixing_small_sources(spark):
     rows = [(k, "w " * 100, "en", source, 200) for source, lo, n in (("a", 0, 900), ("b", 1000, 50), ("c", 2000, 8)) for k in range(lo, lo + n)]
     got = mixing.plan(docs(spark, rows)).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
     assert len(got) == 3 and all(abs(g.taken - g.target) <= max(2, 0.002 * g.target) for g in got)
