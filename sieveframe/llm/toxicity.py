@@ -1,20 +1,21 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-* Terms are words (runs of letters, lower-cased) and their first four and five letters. The vocabulary is chosen on at
-  most ``EXAMPLES`` labelled documents (smallest hash of the id): terms that go with the toxic label beyond
-  chance for as many terms as were tried (G^2 above twice the logarithm of ten times their number; copies and most
-  near copies of a text count once), at most ``TERMS``.
-* Document frequencies are counted over all documents. Examples are those labelled documents; their vectors make an
-  inverted index whose postings are cut into blocks of examples with each term's largest weight. A query visits
+* Terms are words (runs of letters, lower-cased), all of them; a term's weight in a text is (1 + log n) * idf * association.
+  Document frequencies are counted over all documents. The association (G^2 / (G^2 + c))^2 comes from the examples, c being what chance gives
+  the best of so many terms (2 log of ten times their number); copies and most near copies of a text count once. It cuts no term off, but terms that
+  go with neither label weigh little, and those that no example holds weigh nothing, in a text's length neither.
+* Examples are at most ``EXAMPLES`` labelled documents (smallest hash of the id) with at most ``POSTINGS`` different terms together.
+  Their vectors make an inverted index whose postings are cut into blocks of examples with each term's largest weight. A query visits
   blocks by their bound and stops when none can reach the k-th best cosine, so the result is exact.
-* The k nearest vote with their cosine as weight (examples tied at the k-th place share the places left). Votes, size
-  of the best cosine and number of neighbours' weights go through a logistic curve fitted leave-one-out on the examples.
-  Texts with no term of the vocabulary get the smoothed share of toxic ones among such examples.
+* The k nearest vote with their cosine as weight (examples tied at the k-th place share the places left). The vote goes through a
+  logistic curve fitted leave-one-out on at most ``CALIBRATION`` of the examples. Texts with no term of any example get the smoothed
+  share of toxic ones among such examples.
 
 Never inputs: labels of the held-out rows (crc32(doc_id as text) mod 5 = 0), lang, source and doc_id; the id only names evidence.
 
-Defined results: null and empty texts have no terms; rows with a null id are scored (held_out false) and teach nothing; without any
-labelled row every score is 0; repeated rows get equal results; an empty table gives an empty result. Texts are read whole.
+Defined results: null and empty texts have no terms; rows with a null id are scored (held_out false) and teach nothing; of different texts with one
+labelled id the one with the smallest hash teaches; a label given several times counts as toxic if any is; without any labelled row every score is 0;
+repeated rows get equal results; other columns, whatever their names, are ignored; an empty table gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -22,15 +23,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, texts
 from .ngram_join import shingles
 
-EXAMPLES, TERMS, K, BLOCK = 6000, 2000, 15, 64
+EXAMPLES, POSTINGS, CALIBRATION, K, BLOCK = 3000, 5_000_000, 1500, 15, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,100 +42,90 @@ def held_out(doc_id: Column) -> Column:
 
 
 def terms_of(text: str | None) -> Counter:
-    words = Counter(_WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) > 4:
-            out[f"{w[:4]}-"] += n
-            if len(w) > 5:
-                out[f"{w[:5]}-"] += n
-    return out
-
-
-def counts_in(text: str | None, vocabulary: dict[str, int]) -> dict[int, int]:
-    """Term counts within the vocabulary, without building all of them."""
-    out: dict[int, int] = {}
-    for w, n in Counter(_WORD.findall((text or "").lower())).items():
-        for t in (w, f"{w[:4]}-" if len(w) > 4 else "", f"{w[:5]}-" if len(w) > 5 else ""):
-            i = vocabulary.get(t)
-            if i is not None:
-                out[i] = out.get(i, 0) + n
-    return out
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples by term, with the largest weight of each term in each block of examples."""
+    """Vectors of examples by term; for each term and block of examples the largest weight and the run of postings."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
         self.n_blocks = -(-self.n // block)
-        self.top = np.zeros((n_terms, self.n_blocks))
-        posts: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                b = i // block
-                posts.setdefault((t, b), []).append((i - b * block, w))
-                self.top[t, b] = max(self.top[t, b], w)
-        self.posts = {k: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for k, p in posts.items()}
-
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        by = np.lexsort((owner, term))
+        term, self.weight, self.owner = term[by], weight[by], owner[by].astype(np.int32)
+        key = term * max(1, self.n_blocks) + self.owner // block
+        at = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0] if len(key) else np.empty(0, np.int64)
+        self.run = np.append(at, len(key))  # postings of entry e: run[e] to run[e + 1]
+        self.entry_block = (self.owner[at] // block).astype(np.int32)
+        self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
+        self.entries = np.searchsorted(term[at], np.arange(n_terms + 1))  # entries of term t: entries[t] to entries[t + 1]
+
+    def nearest(self, ts: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples whose cosine is at least the k-th best (all of those tied) and above 0, best first, with cosines."""
-        ts = sorted(query)
-        q = np.array([query[t] for t in ts])
-        bound = q @ self.top[ts]
-        ids, sims, kth = [np.empty(0, int)], [np.empty(0)], 0.0
-        best = np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            # a bound is a sum in another order than a cosine: allow for rounding
-            if bound[b] <= 0 or bound[b] < kth - 1e-9:
+        low, high = self.entries[ts], self.entries[ts + 1]
+        n = high - low
+        entry = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        w, of = np.repeat(q, n), self.entry_block[entry]
+        bound = np.bincount(of, w * self.top[entry], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        sims, done, step, kth = np.zeros(self.n_blocks * self.block), 0, 4, 0.0
+        while done < len(order):
+            left = order[done:][bound[order[done:]] >= kth - 1e-9]  # a bound is a sum in another order than a cosine: allow for rounding
+            if not len(left):
                 break
-            s = np.zeros(self.block)
-            for t, w in zip(ts, q, strict=True):
-                p = self.posts.get((t, int(b)))
-                if p is not None:
-                    s[p[0]] += w * p[1]
-            at = np.nonzero(s > 0)[0]
-            ids.append(at + b * self.block)
-            sims.append(s[at])
-            best = np.sort(np.concatenate([best, s[at]]))[::-1][:k]
-            kth = best[-1] if len(best) == k else 0.0
-        i, s = np.concatenate(ids), np.round(np.concatenate(sims), 9)
-        keep = s >= round(kth, 9)
-        order = np.lexsort((i[keep], -s[keep]))
-        return i[keep][order], s[keep][order]
+            now = left if done and 4 * len(left) > self.n_blocks else left[:step]
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[now] = True
+            mine = np.nonzero(chosen[of])[0]
+            e = entry[mine]
+            m = self.run[e + 1] - self.run[e]
+            at = np.repeat(self.run[e] - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum())
+            sims += np.bincount(self.owner[at], np.repeat(w[mine], m) * self.weight[at], len(sims))
+            done, step = done + len(now), 2 * step
+            seen = sims[sims > 0]
+            kth = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0
+        sims = np.round(sims, 9)
+        found = np.nonzero(sims > 0)[0]
+        if len(found) > k:
+            kth = np.partition(sims[found], len(found) - k)[len(found) - k]
+            found = found[sims[found] >= kth]
+        by = np.lexsort((found, -sims[found]))
+        return found[by], sims[found][by]
 
 
 class Model:
-    """Everything that scoring needs; bounded by EXAMPLES and TERMS."""
+    """Everything that scoring needs; bounded by EXAMPLES and POSTINGS.
 
-    def __init__(self, vocabulary: list[str], idf: list[float], examples: list[tuple[int, int, dict[int, int]]], k: int = K):
-        self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
-        self.names, self.idf, self.k = vocabulary, idf, k
-        empty = [y for _, y, c in examples if not c]
+    examples: (id, label, key shared by copies, indices of terms, their counts); df: documents with each term, of ``total``.
+    """
+
+    def __init__(self, names: list[str], df: np.ndarray, total: int, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]], k: int = K, calibration: int = CALIBRATION):
+        self.names, self.k = names, k
+        self.vocabulary: dict[str, int] | None = None
+        self.weights = np.log(1 + total / (1 + df)) * association(len(names), examples)
+        empty = [y for _, y, _, t, _ in examples if not len(t)]
         self.blank = (sum(empty) + 0.5) / (len(empty) + 2) if examples else 0.0
         # an order by content, so that ids and the order of rows have no part in the result
-        own = sorted(((sorted(c.items()), y, i) for i, y, c in examples if c), key=lambda e: (e[0], e[1], e[2]))
-        self.ids, self.toxic = [i for _, _, i in own], np.array([y for _, y, _ in own], float)
-        vectors = [self.vector(dict(c)) for c, _, _ in own]
-        self.index = BlockMaxIndex(vectors, len(vocabulary)) if own else None
+        own = sorted((e for e in examples if len(e[3])), key=lambda e: (e[3].tobytes(), e[4].tobytes(), e[1], e[0]))
+        self.ids, self.toxic = [e[0] for e in own], np.array([e[1] for e in own], float)
+        vectors = [self.vector(e[3], e[4]) for e in own]
+        self.index = BlockMaxIndex(vectors, len(names)) if own else None
         self.curve = (0.0, 0.0)
         if own:
-            seen: dict[tuple, float] = {}
-            votes = []
-            for n, v in enumerate(vectors):
-                key = (tuple(sorted(v.items())), self.toxic[n])
-                if key not in seen:
-                    seen[key] = self._vote(v, without=n)
-                votes.append(seen[key])
-            self.curve = _logistic(np.array(votes), self.toxic)
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {t: w / norm for t, w in v.items()}
-
-    def _vote(self, v: dict[int, float], without: int = -1) -> float:
-        i, s = self.index.nearest(v, self.k + (without >= 0))
+            of = np.arange(len(own))[:: -(-len(own) // calibration)]
+            self.curve = _logistic(np.array([self._vote(*self.index.nearest(*vectors[n], k + 1), without=n) for n in of]), self.toxic[of])
+
+    def vector(self, ts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weights[ts]
+        keep = w > 0
+        ts, w = ts[keep], w[keep]
+        return ts, w / np.sqrt(w @ w) if len(w) else w
+
+    def _vote(self, i: np.ndarray, s: np.ndarray, without: int = -1) -> float:
         if without >= 0:
             s, i = s[i != without], i[i != without]
         if not len(i):
@@ -144,17 +137,36 @@ class Model:
         w = share * s
         return float((w @ self.toxic[i] + 0.5 * self.blank) / (w.sum() + 0.5))
 
-    def _scored(self, key: tuple) -> tuple[float, list[int]]:
-        v = self.vector(dict(key))
+    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
+        """Calibrated chance of the toxic label, up to three nearest examples, and the text's heaviest terms."""
+        if self.vocabulary is None:
+            self.vocabulary = {t: i for i, t in enumerate(self.names)}
+        counts = terms_of(text)
+        known = list(map(self.vocabulary.get, counts))
+        ts = np.array([i for i in known if i is not None], np.int64)
+        if self.index is None or not len(ts):
+            return round(self.blank, 9), [], []
+        ts, w = self.vector(ts, np.array([n for i, n in zip(known, counts.values(), strict=True) if i is not None], float))
+        if not len(ts):
+            return round(self.blank, 9), [], []
         a, b = self.curve
-        i, _ = self.index.nearest(v, self.k)
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, a * self._vote(v) + b)))), [self.ids[n] for n in i[:3]]
+        i, s = self.index.nearest(ts, w, self.k)
+        p = 1 / (1 + math.exp(-max(-40.0, min(40.0, a * self._vote(i, s) + b))))
+        return round(p, 9), [self.ids[n] for n in i[:3]], [self.names[ts[n]] for n in np.argsort(-w, kind="stable")[:3]]
+
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        """Calibrated chance of the toxic label, and up to three nearest examples."""
-        if self.index is None or not counts:
-            return self.blank, []
-        return self._scored(tuple(sorted(counts.items())))
+def association(n_terms: int, examples: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """From 0 to 1 for each term: how surely it goes with a label, whichever. Examples with one key and label count once."""
+    distinct = {(key, y): t for _, y, key, t, _ in sorted(examples, key=lambda e: (e[2], e[1], e[3].tobytes()), reverse=True)}
+    n = np.array([sum(1 for _, y in distinct if y == label) for label in (0, 1)], float)
+    seen = [np.bincount(np.concatenate([np.empty(0, np.int64), *(t for (_, y), t in distinct.items() if y == label)]), minlength=n_terms).astype(float) for label in (0, 1)]
+    g, both = np.zeros(n_terms), seen[0] + seen[1]
+    for count, size in zip(seen, n, strict=True):
+        for had, of in ((count, both), (size - count, n.sum() - both)):
+            expected = of * size / max(1.0, n.sum())
+            g += np.where(had > 0, 2 * had * np.log(np.where(had > 0, had, 1) / np.where(expected > 0, expected, 1)), 0.0)
+    g = np.maximum(g, 0.0)
+    return (g / (g + 2 * math.log(10 * max(2, n_terms)))) ** 2
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -172,103 +184,105 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def choose_terms(counted: list[tuple[str, int, int]], n_toxic: int, n_clean: int, limit: int = TERMS) -> list[str]:
-    """counted: (term, toxic documents, clean documents), of terms in at least two toxic ones."""
-    n, tried = n_toxic + n_clean, max(2, len(counted))
-    out = []
-    for t, a, b in counted:
-        if a * n_clean <= b * n_toxic or 2 * a < (a + b):
-            continue
-        cells = ((a, (a + b) * n_toxic / n), (b, (a + b) * n_clean / n), (n_toxic - a, (n - a - b) * n_toxic / n), (n_clean - b, (n - a - b) * n_clean / n))
-        g = 2 * sum(o * math.log(o / e) for o, e in cells if o > 0 and e > 0)
-        if g > 2 * math.log(10 * tried):
-            out.append((-g, t))
-    return [t for _, t in sorted(out)[:limit]]
-
-
-def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: int = TERMS, k: int = K) -> tuple[Model, DataFrame]:
-    """The model, and doc_id, rid, counts of all documents' terms, which it is counted on."""
+def _sample(docs: DataFrame, labels: DataFrame, examples: int, postings: int) -> tuple[list[str], list[tuple[int, int, int, np.ndarray, np.ndarray]]]:
+    """Terms of the examples and the examples themselves, on the driver: at most ``examples`` with ``postings`` terms."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
     # at most `examples` rows of two numbers: safe to broadcast
-    sample = materialize(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]))
-
-    def tally(columns: list) -> list[tuple]:
-        toxic: Counter = Counter()
-        clean: Counter = Counter()
-        for _, text, y in zip(*columns, strict=True):
-            (toxic if y else clean).update(terms_of(text).keys())
-        return [(t, toxic[t], clean[t]) for t in toxic.keys() | clean.keys()]
-
-    # near copies mostly share their smallest shingle, other texts don't
-    keyed = map_rows(sample, "text string, toxic int, k string", lambda columns: [(t, y, str(shingles(t)[:1])) for _, t, y in zip(*columns, strict=True)])
-    distinct = materialize(keyed.dropDuplicates(["k", "toxic"]).select("k", "text", "toxic"))
-    sizes = {bool(r.toxic): r["count"] for r in distinct.groupBy("toxic").count().collect()}
-    # the vocabulary of a bounded sample, less what two toxic documents don't share
-    counted = map_rows(distinct, "term string, toxic bigint, clean bigint", tally).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic >= 2").collect()
-    names = choose_terms([(r.term, r.toxic, r.clean) for r in counted], sizes.get(True, 0), sizes.get(False, 0), n_terms)
-    vocabulary = {t: i for i, t in enumerate(names)}
-
-    def extract(columns: list) -> list[tuple]:
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def count(columns: list) -> list[tuple]:
         out = []
-        for i, text in zip(*columns, strict=True):
-            c = counts_in(text, vocabulary) if vocabulary else {}
-            out.append((i, sorted(c), [c[t] for t in sorted(c)]))
+        for i, y, text in zip(*columns, strict=True):
+            got = sorted(terms_of(text).items())
+            # near copies mostly share their smallest shingle, other texts don't
+            key = shingles(text)[:1]
+            out.append((i, int(bool(y)), int(key[0]) - 2**63 if len(key) else 0, [t for t, _ in got], [n for _, n in got]))
         return out
 
-    vectors = materialize(map_rows(docs.select("doc_id", "text"), "doc_id bigint, terms array<int>, counts array<int>", extract))
-    total = vectors.count()
-    df = {r.t: r.n for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = [math.log(1 + total / (1 + df.get(i, 0))) for i in range(len(names))]
-    own = vectors.where("doc_id is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return Model(names, idf, [(r.doc_id, int(bool(r.toxic)), dict(zip(r.terms, r.counts, strict=True))) for r in own], k), vectors
+    counted = materialize(map_rows(rows, "doc_id bigint, toxic int, key bigint, terms array<string>, counts array<bigint>", count).withColumn("place", F.xxhash64("doc_id")))
+    sizes = sorted((r.place, r.doc_id, r.n) for r in counted.select("place", "doc_id", F.size("terms").alias("n")).collect())
+    fit = [(place, i) for (place, i, _), total in zip(sizes, np.cumsum([n for *_, n in sizes]), strict=True) if total <= postings]
+    if not fit:
+        return [], []
+    last = fit[-1]
+    got = counted.where((F.col("place") < last[0]) | (F.col("place") == last[0]) & (F.col("doc_id") <= last[1])).select("doc_id", "toxic", "key", "terms", "counts").toArrow().combine_chunks()
+    lists, counts = got.column("terms").combine_chunks(), got.column("counts").combine_chunks()
+    lists, counts = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (lists, counts))
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    rank = np.argsort(np.argsort(np.array(names, object), kind="stable"), kind="stable")
+    ids, n, ends = rank[coded.indices.to_numpy()] if names else np.empty(0, np.int64), counts.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    parts = [(ids[a:b], n[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    return sorted(names), [(i, y, key, t, c) for i, y, key, (t, c) in zip(*(got.column(x).to_pylist() for x in ("doc_id", "toxic", "key")), parts, strict=True)]
+
+
+def _frequencies(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
+    """Of all documents, how many hold each term, and their number. A task counts in one array and tells of it once."""
+    known = docs.sparkSession.sparkContext.broadcast(names)  # bounded by POSTINGS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {t: i for i, t in enumerate(known.value)}
+        df, total = np.zeros(len(index) + 1, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total += 1
+                at = [i for i in map(index.get, set(_WORD.findall(text.lower()))) if i is not None]
+                df[at] += 1
+        df[-1] = total
+        some = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], ["term", "n"])
+
+    got = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(names) + 1, np.int64)
+    out[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    known.unpersist()
+    return out[:-1], int(out[-1])
+
+
+def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K, postings: int = POSTINGS) -> Model:
+    """docs: doc_id and text, as `texts` gives them."""
+    names, sample = _sample(docs, labels, examples, postings)
+    df, total = _frequencies(docs, names) if names else (np.zeros(0, np.int64), 0)
+    return Model(names, df, total, sample, k)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, n_terms: int = TERMS, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (ids of nearest examples) and matched (terms) for each row of docs."""
-    model, vectors = train(texts(docs, id_col, text_col), labels, examples, n_terms, k)
-    return apply(model, vectors)
+def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (ids of nearest examples) and heavy (the text's heaviest terms) for each row of docs."""
+    rows = texts(docs, id_col, text_col)
+    return apply(train(rows, labels, examples, k), rows)
 
 
-def apply(model: Model, vectors: DataFrame) -> DataFrame:
-    state = (model.names, model.idf, model.k, model.blank, model.ids, model.toxic, model.index, model.curve)
+def apply(model: Model, docs: DataFrame) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and POSTINGS
 
     def rows(columns: list) -> list[tuple]:
-        m = _restored(state)
-        known: dict[tuple, tuple[float, list[int]]] = {}  # of this chunk: copies and short vectors recur
+        m = shared.value
+        known: dict[str, tuple] = {}  # of this chunk: copies recur
         out = []
-        for i, ts, cs in zip(*columns, strict=True):
-            key = (tuple(ts), tuple(cs))
-            if key not in known:
-                known[key] = m.score(dict(zip(ts, cs, strict=True)))
-            s, near = known[key]
-            out.append((i, round(s, 9), int(round(s, 9) >= 0.5), near, [m.names[t] for t in ts]))
+        for i, text in zip(*columns, strict=True):
+            if text not in known:
+                known[text] = m.score(text)
+            p, near, heavy = known[text]
+            out.append((i, p, int(p >= 0.5), near, heavy))
         return out
 
-    scored = map_rows(vectors.select("doc_id", "terms", "counts"), "doc_id bigint, score double, predicted int, evidence array<bigint>, matched array<string>", rows, chunk=4096)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "matched")
+    scored = map_rows(docs.select("doc_id", "text"), "doc_id bigint, score double, predicted int, evidence array<bigint>, heavy array<string>", rows)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "heavy")
 
 
 def flag(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with all their columns and ``__predicted``, scored where the rows are: no join brings texts and scores together."""
-    import pyarrow as pa
     from pyspark.sql.types import IntegerType, StructField, StructType
 
-    state = (model.names, model.idf, model.k, model.blank, model.ids, model.toxic, model.index, model.curve)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField("__predicted", IntegerType())])
     at = docs.columns.index(text_col)
 
-    def run(batches):
-        m = _restored(state)
-        vocabulary = {t: i for i, t in enumerate(m.names)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for batch in batches:
-            got = [int(round(m.score(counts_in(t, vocabulary))[0], 9) >= 0.5) for t in batch.column(at).to_pylist()]
+            got = [int(m.score(t)[0] >= 0.5) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int32())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
-
-
-def _restored(state: tuple) -> Model:
-    m = Model.__new__(Model)
-    m.names, m.idf, m.k, m.blank, m.ids, m.toxic, m.index, m.curve = state
-    return m

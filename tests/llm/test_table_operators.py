@@ -290,8 +290,8 @@ def test_toxicity_flag_agrees_with_scores(spark):
     rows = [(k, " ".join(words(k, 40) + (["vileword"] if k % 4 == 0 else [])), "en", "s", 0) for k in range(160)]
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(160)], "doc_id bigint, quality int, toxic int")
     df = docs(spark, rows)
-    model, vectors = toxicity.train(df.select("doc_id", "text"), labels)
-    assert {(r.doc_id, r.predicted) for r in toxicity.apply(model, vectors).collect()} == {(r.doc_id, r["__predicted"]) for r in toxicity.flag(model, df).collect()}
+    model = toxicity.train(df.select("doc_id", "text"), labels)
+    assert {(r.doc_id, r.predicted) for r in toxicity.apply(model, df).collect()} == {(r.doc_id, r["__predicted"]) for r in toxicity.flag(model, df).collect()}
 
 
 def test_mixing_small_sources(spark):

@@ -175,18 +175,80 @@ def test_boosting_is_monotone_and_matches_a_walk():
 # 8: toxicity ---------------------------------------------------------------------------------------------------------
 def test_block_max_index_is_exact():
     r = random.Random(3)
-    vectors = []
-    for _ in range(400):
-        v = {r.randrange(30): r.random() for _ in range(r.randint(1, 6))}
-        n = sum(w * w for w in v.values()) ** 0.5
-        vectors.append({t: w / n for t, w in v.items()})
-    index = toxicity.BlockMaxIndex(vectors, 30, block=16)
-    for q in vectors[:60]:
-        sims = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 9), -i) for i, v in enumerate(vectors)), reverse=True)
+    for n_terms, n, k in ((30, 400, 10), (400, 1500, 15), (5, 40, 3)):
+        vectors = []
+        for _ in range(n):
+            v = {r.randrange(n_terms): r.random() for _ in range(r.randint(1, 6))}
+            size = sum(w * w for w in v.values()) ** 0.5
+            vectors.append({t: w / size for t, w in v.items()})
+        arrays = [(np.array(sorted(v)), np.array([v[t] for t in sorted(v)])) for v in vectors]
+        index = toxicity.BlockMaxIndex(arrays, n_terms, block=16)
+        for q, (ts, ws) in list(zip(vectors, arrays, strict=True))[:60]:
+            sims = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 9), -i) for i, v in enumerate(vectors)), reverse=True)
+            sims = [s for s in sims if s[0] > 0]
+            kth = sims[min(k, len(sims)) - 1][0]
+            ids, got = index.nearest(ts, ws, k)
+            assert sorted(ids.tolist()) == sorted(-i for s, i in sims if s >= kth) and got.tolist() == sorted(got.tolist(), reverse=True)
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    """The whole way, from texts to scores, with plain dictionaries."""
+    import math
+    import zlib
+
+    rows = [(k, " ".join(words(k, r.randint(5, 40)) + r.sample(["vile", "nasty", "rude", "fine"], 2) * (k % 3 == 0)), None, None, 0) for r in [random.Random(9)] for k in range(130)]
+    rows += [(200, "", None, None, 0), (201, "日本", None, None, 0), (None, "vile nasty", None, None, 0), rows[3], (7, "another text of the same id", None, None, 0)]
+    labels = {k: int(k % 3 == 0 and k % 7 > 0) for k in range(130)} | {200: 0}
+    got = toxicity.score_toxicity(docs(spark, rows), spark.createDataFrame(list(labels.items()), "doc_id int, toxic int"), k=5).collect()
+    terms = [toxicity.terms_of(t) for _, t, *_ in rows]
+    hashes = {x.t: x.h for x in spark.createDataFrame([(t,) for _, t, *_ in rows], "t string").selectExpr("t", "xxhash64(t) as h").collect()}
+    teach = {}
+    for i, t, *_ in rows:
+        if i in labels and zlib.crc32(str(i).encode()) % 5 and (i not in teach or hashes[t] < hashes[teach[i]]):
+            teach[i] = t
+    vocabulary = sorted({w for t in teach.values() for w in toxicity.terms_of(t)})
+    df = {w: sum(w in c for c in terms) for w in vocabulary}
+    distinct = {}
+    for i, t in teach.items():
+        distinct.setdefault((str(toxicity.shingles(t)[:1]), labels[i]), t)
+    n = [sum(y == c for _, y in distinct) for c in (0, 1)]
+    weight = {}
+    for w in vocabulary:
+        seen = [sum(w in toxicity.terms_of(t) for (_, y), t in distinct.items() if y == c) for c in (0, 1)]
+        g = 0.0
+        for c in (0, 1):
+            for had, of in ((seen[c], sum(seen)), (n[c] - seen[c], sum(n) - sum(seen))):
+                if had:
+                    g += 2 * had * math.log(had / (of * n[c] / sum(n)))
+        weight[w] = math.log(1 + len(rows) / (1 + df[w])) * (g / (g + 2 * math.log(10 * len(vocabulary)))) ** 2
+
+    def vector(text):
+        v = {w: (1 + math.log(m)) * weight[w] for w, m in toxicity.terms_of(text).items() if weight.get(w, 0) > 0}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: vector(t) for i, t in teach.items()}
+    blank = (sum(labels[i] for i in teach if not vectors[i]) + 0.5) / (sum(not v for v in vectors.values()) + 2)
+
+    def vote(v, without=None):
+        sims = sorted(((round(sum(x * u.get(w, 0) for w, x in v.items()), 9), i) for i, u in vectors.items() if i != without), reverse=True)
         sims = [s for s in sims if s[0] > 0]
-        kth = sims[min(9, len(sims) - 1)][0]
-        ids, got = index.nearest(q, 10)
-        assert sorted(ids.tolist()) == sorted(-i for s, i in sims if s >= kth)
+        if not sims:
+            return 0.5
+        kth = sims[min(5, len(sims)) - 1][0]
+        above = sum(s > kth for s, _ in sims)
+        share = (min(5, len(sims)) - above) / sum(s == kth for s, _ in sims)
+        votes = [(s * (share if s == kth else 1), labels[i]) for s, i in sims if s >= kth]
+        return (sum(w * y for w, y in votes) + 0.5 * blank) / (sum(w for w, _ in votes) + 0.5)
+
+    own = [i for i in vectors if vectors[i]]
+    a, b = toxicity._logistic(np.array([vote(vectors[i], i) for i in own]), np.array([float(labels[i]) for i in own]))
+    want = {}
+    for i, t, *_ in rows:
+        v = vector(t)
+        want[(i, t)] = 1 / (1 + math.exp(-(a * vote(v) + b))) if v else blank
+    have = sorted((g.doc_id is None, g.doc_id or 0, round(g.score, 6)) for g in got)
+    assert have == sorted((i is None, i or 0, round(want[(i, t)], 6)) for i, t, *_ in rows)
 
 
 def test_toxicity_operator(spark):
