@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no terms and stay, as rows with a null doc_id do unless their text is toxic. Repeated rows go or stay
     together. Without labels nothing goes.
     """
-    model, _ = toxicity.train(texts(docs), read(spark, sf_dir, "labels"))
+    model = toxicity.train(texts(docs), read(spark, sf_dir, "labels"))
     return toxicity.flag(model, docs).where("__predicted = 0").drop("__predicted")
 
 
