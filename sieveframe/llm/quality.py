@@ -6,7 +6,9 @@ corpus). It may never like a document better for more symbols, repeated lines or
 rejected if its score is below a threshold that keeps ``KEEP`` of the good documents of the sample's held-out fifth.
 
 Words are [^\\x20\\x09-\\x0D]+. Defined results: null and empty texts have no words, all counts 0, and fail; rows with a null
-id are scored like others and teach nothing; without labels only the base rules decide; an empty table gives an empty result.
+id are scored like others and teach nothing; of different texts with one labelled id the one with the smallest hash teaches; repeated
+rows get equal results; without labels only the base rules decide; an empty table gives an empty result; texts of any length are
+read whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -87,12 +89,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     chosen = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # at most `sample` rows of two numbers: safe to broadcast
-    rows = texts(docs).join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id")
+    rows = texts(docs).join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id").withColumn("th", F.xxhash64("text"))
 
     def measured(columns: list) -> list[tuple]:
-        return [(i, int(q), statistics(t)[1]) for i, t, q in zip(*columns, strict=True)]
+        return [(i, th, int(q), statistics(t)[1]) for i, t, q, th in zip(*columns, strict=True)]
 
-    got = map_rows(rows, "doc_id bigint, quality int, features array<double>", measured).dropDuplicates(["doc_id"]).collect()
+    got = map_rows(rows, "doc_id bigint, th bigint, quality int, features array<double>", measured).groupBy("doc_id").agg(F.min_by("features", "th").alias("features"), F.max("quality").alias("quality")).collect()
     got.sort(key=lambda r: r.doc_id)
     x, y = np.array([r.features for r in got]).reshape(len(got), len(FEATURES)), np.array([r.quality for r in got], float)
     held = np.arange(len(got)) % 5 == 0

@@ -163,12 +163,13 @@ def lines_by_force(rows):
 @pytest.mark.parametrize("share", [2000, 20])
 def test_line_dedup_matches_brute_force(spark, monkeypatch, share):
     monkeypatch.setattr(linededup, "HOT_SHARE", share)
-    monkeypatch.setattr(linededup, "SALTS", 8)
     hot = "This line is in very many documents"
-    rows = corpus() + [(2000 + k, f"{hot}\nown line number {k}\n{hot.upper()} ", "en", "s", 1) for k in range(150)] + [(3000, "\n".join([hot, "x"] * 400), None, None, 0)]
+    rows = corpus() + [(2000 + k, f"{hot}\nown line number {k}\n{hot.upper()} ", "en", "s", 1) for k in range(150)] + [(3000, "\n".join([hot, "x"] * 400), None, None, 0), (3001, "\n".join(["x"] * 1000 + [hot] + ["y"] * 1000 + [hot, "end"]), None, None, 0)]
     got = linededup.dedup_lines(docs(spark, rows)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("h")).collect()
     assert Counter(map(tuple, got)) == lines_by_force(rows)
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
+    far = [r for r in linededup.keep_bitmaps(docs(spark, rows).select("doc_id", "text")).collect() if r.doc_id == 3001]
+    assert [(w.word, bin(w.bits).count("1")) for w in far[0].keeps] == [(1000 // 63, 62), (2001 // 63, 62)]  # words that keep all are left out
 
 
 # 10: mixing ----------------------------------------------------------------------------------------------------------
