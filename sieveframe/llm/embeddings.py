@@ -9,13 +9,16 @@
   Closer pairs land in nearer cells, so the recall of all links is above the target.
 * Cells are dealt as pairs of blocks of at most about ``BLOCK`` vectors, so that a cell with very many vectors (a group of near
   copies) is spread over tasks. Each (query, vector) pair is verified in one of them, by cosine in double precision; a unit
-  returns counts and a spanning forest, never its pairs.
+  returns counts and a spanning forest, never its pairs. Where the vector, as a query, doesn't visit the other's cell, the unit
+  counts the link for both, so that a link found from one end counts at both.
+* Vectors of another length are another index. Lengths with at most ``SMALL`` vectors make one cell each, all of them in one pass.
 
-The fitted part is two codebooks of at most ``CENTROIDS`` half vectors and one number.
+The fitted part is two codebooks of at most ``CENTROIDS`` half vectors and one number; up to CENTROIDS ** 2 * CELL vectors (17 billion) cells
+keep their size. Larger cells move fewer copies of a vector and compare more: CELL is where both are small.
 
 Result: one row per row of the input: vec_id, n_links (other rows linked), component_id, kept. Defined results: vectors that are null,
 empty or zero or hold null or non-finite components link with nothing and are kept; vectors of different lengths don't link; rows with a null id get null ids, no links and kept = true; repeated
-rows are copies of each other; an empty table gives an empty result.
+rows are copies of each other; other columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .common import materialize
 from .graph import connected_components
 
 THRESHOLD, RECALL = 0.95, 0.999
-CELL, CENTROIDS, SAMPLE, BLOCK = 256, 4096, 20_000, 2048
+CELL, CENTROIDS, SAMPLE, BLOCK, SMALL = 1024, 4096, 50_000, 2048, 4096
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -40,7 +43,7 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     k = min(k, len(x))
     c = x[r.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = _distances(x, c).argmin(1)
+        near = np.concatenate([_distances(x[at : at + 1024], c).argmin(1) for at in range(0, len(x), 1024)])
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
@@ -103,6 +106,13 @@ class Grid:
             out.append([int(i[m]) * len(self.books[1]) + int(j[n]) for m, n in multi_sequence(a[i].tolist(), b[j].tolist(), self.limit)])
         return out
 
+    def visited(self, x: np.ndarray, own: int, cells: np.ndarray) -> np.ndarray:
+        """Whether vectors x of the cell ``own`` visit the cells, as queries: a row for each vector."""
+        out, width, h = np.zeros((len(x), len(cells))), len(self.books[1]), self.books[0].shape[1]
+        for part, book, mine, there in ((x[:, :h], self.books[0], own // width, cells // width), (x[:, h:], self.books[1], own % width, cells % width)):
+            out += _distances(part, book[there]) - _distances(part, book[[mine]])
+        return out <= self.limit
+
 
 def unit_vectors(values: list[list[float] | None]) -> list[np.ndarray | None]:
     """Scaled to length one; None for what links with nothing."""
@@ -134,18 +144,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(b, float) for b in column.to_pylist()])
 
 
-def _links(units: DataFrame, t: float) -> DataFrame:
+def _links(units: DataFrame, t: float, grid: Grid | None) -> DataFrame:
     """(id, links, root) of each unit of work: rows of one (cell, member block, query block), members first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, copies, query, vecs = None, [], [], [], []
+        key, ids, copies, froms, vecs = None, [], [], [], []
 
         def close() -> pa.RecordBatch | None:
-            if not ids or all(query) or not any(query):
+            home = np.array(froms)  # of a query its own cell, -1 for a member
+            q = home >= 0
+            if not len(q) or q.all() or not q.any():
                 return None
-            x, q = np.stack(vecs), np.array(query)
-            i, n = np.array(ids), np.array(copies)
+            x, i, n = np.stack(vecs), np.array(ids), np.array(copies)
             m_id, m_n, m_x = i[~q], n[~q], x[~q]
+            cells, place = np.unique(home[q], return_inverse=True)
+            back = None if grid is None else grid.visited(m_x, key[0], cells)
             root = {}
 
             def find(v: int) -> int:
@@ -154,11 +167,13 @@ def _links(units: DataFrame, t: float) -> DataFrame:
                     v = root[v]
                 return v
 
-            links = []
+            links, other = [], np.zeros(len(m_id), np.int64)
             for at in range(0, int(q.sum()), 512):
-                q_id, q_x = i[q][at : at + 512], x[q][at : at + 512]
+                q_id, q_n, q_x = i[q][at : at + 512], n[q][at : at + 512], x[q][at : at + 512]
                 hit = (q_x @ m_x.T >= t) & (q_id[:, None] != m_id[None])
                 links.append((q_id, hit @ m_n))
+                if back is not None:
+                    other += q_n @ (hit & ~back[:, place[at : at + 512]].T)
                 for r in np.nonzero(hit.any(1))[0]:
                     others = m_id[hit[r]]
                     a = find(int(q_id[r]))
@@ -167,22 +182,25 @@ def _links(units: DataFrame, t: float) -> DataFrame:
                         if a != b:
                             root[max(a, b)] = min(a, b)
                             a = min(a, b)
-            who, count = np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
-            own = {int(w): int(c) for w, c in zip(who, count, strict=True) if c}
+            own: dict[int, int] = {}
+            for who, count in (*links, (m_id, other)):
+                for w, c in zip(who.tolist(), count.tolist(), strict=True):
+                    if c:
+                        own[w] = own.get(w, 0) + c
             told = sorted(set(own) | set(root))
             return pa.RecordBatch.from_arrays([pa.array(told, pa.int64()), pa.array([own.get(v, 0) for v in told], pa.int64()), pa.array([find(v) for v in told], pa.int64())], ["id", "links", "root"])
 
         for batch in batches:
             c = batch.to_pydict()
-            for cell, mb, qb, i, n, is_query, unit in zip(*(c[k] for k in ("cell", "mb", "qb", "id", "copies", "query", "unit")), strict=True):
+            for cell, mb, qb, i, n, home, unit in zip(*(c[k] for k in ("cell", "mb", "qb", "id", "copies", "home", "unit")), strict=True):
                 if key != (cell, mb, qb):
                     got = close()
                     if got is not None:
                         yield got
-                    key, ids, copies, query, vecs = (cell, mb, qb), [], [], [], []
+                    key, ids, copies, froms, vecs = (cell, mb, qb), [], [], [], []
                 ids.append(i)
                 copies.append(n)
-                query.append(is_query)
+                froms.append(home)
                 vecs.append(np.frombuffer(unit, float))
         got = close()
         if got is not None:
@@ -191,6 +209,19 @@ def _links(units: DataFrame, t: float) -> DataFrame:
     return units.mapInArrow(run, "id bigint, links bigint, root bigint")
 
 
+def _pairs(asked: DataFrame, members: DataFrame, t: float, grid: Grid | None) -> DataFrame:
+    """Links of queries (id, copies, unit, home, cell) to members (id, copies, unit, cell): every pair of a cell's blocks is a unit."""
+    sizes = materialize(members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    own = members.join(sizes, "cell").withColumn("mb", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int"))
+    asked = asked.join(sizes, "cell")
+    queries = materialize(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qblocks")))
+    q = asked.join(queries, "cell").withColumn("qb", F.pmod(F.xxhash64(F.lit(6), "id"), F.col("qblocks")).cast("int"))
+    q = q.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"), "qb", "id", "copies", "home", "unit")
+    m = own.join(queries, "cell").select("cell", "mb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qb"), "id", "copies", F.lit(-1).cast("long").alias("home"), "unit")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _links(m.unionByName(q).repartition(parts, "cell", "mb", "qb").sortWithinPartitions("cell", "mb", "qb"), t, grid)
+
+
 def _grid(classes: DataFrame, t: float, recall: float, cell: int, sample: int) -> Grid:
     """Codebooks and limit from a bounded sample, with as many centroids as all vectors ask for."""
     x = np.stack([np.frombuffer(r.unit, float) for r in classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("unit").collect()])
@@ -202,25 +233,25 @@ def _grid(classes: DataFrame, t: float, recall: float, cell: int, sample: int) -
 
 
 def _placed(classes: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """Queries (one row for each cell visited) and members, both with the number of their cell's member blocks."""
+    """Queries (one row for each cell visited, with their own as ``home``) and members."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grid.own(_matrix(batch.column(2))), pa.int64())], ["id", "copies", "unit", "cell"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(grid.own(_matrix(part.column(2))), pa.int64())], ["id", "copies", "unit", "cell"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(grid.visits(_matrix(part.column(2))), pa.list_(pa.int64()))], ["id", "copies", "unit", "cells"])
+                x = _matrix(part.column(2))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(grid.own(x), pa.int64()), pa.array(grid.visits(x), pa.list_(pa.int64()))], ["id", "copies", "unit", "home", "cells"])
 
     rows = classes.select("id", "copies", "unit")
     members = materialize(rows.mapInArrow(assign, "id bigint, copies bigint, unit binary, cell bigint"))
-    sizes = materialize(members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    own = members.join(sizes, "cell").withColumn("mb", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int"))
-    asked = rows.mapInArrow(visit, "id bigint, copies bigint, unit binary, cells array<bigint>").select("id", "copies", "unit", F.explode("cells").alias("cell")).join(sizes, "cell")
-    return asked, own
+    asked = rows.mapInArrow(visit, "id bigint, copies bigint, unit binary, home bigint, cells array<bigint>").select("id", "copies", "unit", "home", F.explode("cells").alias("cell"))
+    return asked, members
 
 
 def near_duplicates(vectors: DataFrame, t: float = THRESHOLD, recall: float = RECALL, cell: int = CELL, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -228,21 +259,14 @@ def near_duplicates(vectors: DataFrame, t: float = THRESHOLD, recall: float = RE
     rows = materialize(_units(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))).withColumn("h1", F.xxhash64("unit")).withColumn("h2", F.xxhash64(F.lit(7), "unit")))
     valid = rows.where("vec_id is not null and unit is not null")
     classes = materialize(valid.groupBy("dim", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
-    found = None
-    for dim in sorted(r.dim for r in classes.select("dim").distinct().collect()):
+    lengths = materialize(classes.groupBy("dim").count())
+    few = lengths.where(F.col("count") <= SMALL).select("dim", F.col("dim").cast("long").alias("cell"))
+    rare = classes.join(few, "dim").select("id", "copies", "unit", "cell")
+    found = _pairs(rare.withColumn("home", F.col("cell")), rare, t, None)
+    for dim in sorted(r.dim for r in lengths.where(F.col("count") > SMALL).collect()):
         same = classes.where(F.col("dim") == dim)
         grid = _grid(same, t, recall, cell, sample)
-        asked, own = _placed(same, grid)
-        # of a cell's queries, blocks again: every pair of blocks is a unit; queries of no block's cell drop out in the join
-        queries = materialize(asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qblocks")))
-        q = asked.join(queries, "cell").withColumn("qb", F.pmod(F.xxhash64(F.lit(6), "id"), F.col("qblocks")).cast("int"))
-        q = q.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mb"), "qb", "id", "copies", F.lit(True).alias("query"), "unit")
-        m = own.join(queries, "cell").select("cell", "mb", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qb"), "id", "copies", F.lit(False).alias("query"), "unit")
-        units = m.unionByName(q).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell", "mb", "qb").sortWithinPartitions("cell", "mb", "qb")
-        part = _links(units, t)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        found = found.unionByName(_pairs(*_placed(same, grid), t, grid))
     found = materialize(found)
     per = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("id != root").select(F.col("id").alias("u"), F.col("root").alias("v")))

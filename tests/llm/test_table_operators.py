@@ -111,6 +111,7 @@ def test_pruning_keeps_what_can_reach_the_threshold():
 # 4: embeddings -------------------------------------------------------------------------------------------------------
 def test_embeddings_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 50)
+    monkeypatch.setattr(embeddings, "SMALL", 10)
     r = np.random.default_rng(3)
     x = r.standard_normal((700, 24))
     x[100:160] = x[7] + 0.12 * r.standard_normal((60, 24))  # a large group around the threshold
@@ -138,6 +139,27 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embedding_links_count_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SMALL", 10)
+    r = np.random.default_rng(4)
+    x = r.standard_normal((400, 24))
+    turn = r.standard_normal((400, 24))
+    unit = lambda v: v / np.sqrt((v * v).sum(1))[:, None]
+    x = unit(x)
+    y = 0.955 * x + np.sqrt(1 - 0.955**2) * unit(turn - (turn * x).sum(1)[:, None] * x)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, y]))]
+    got = {g.vec_id: g for g in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), recall=0.5, cell=10).collect()}
+    ends = [(got[k].n_links, got[k + 400].n_links, got[k + 400].component_id) for k in range(400)]
+    assert all(a == b and c == (k if a else k + 400) for k, (a, b, c) in enumerate(ends))
+    assert 250 < sum(a for a, *_ in ends) < 400
+
+
+def test_embeddings_of_very_many_lengths(spark):
+    rows = [(k, [1.0] * (1 + k // 3)) for k in range(300)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert all(g.n_links == 2 and g.component_id == g.vec_id // 3 * 3 for g in got)
+
+
 def test_multi_sequence_is_in_order():
     a, b = [0.0, 0.1, 0.5, 0.9], [0.0, 0.2, 0.3]
     got = [a[i] + b[j] for i, j in embeddings.multi_sequence(a, b, 0.6)]
