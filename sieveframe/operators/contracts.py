@@ -36,8 +36,8 @@ def rulebook(spark: SparkSession) -> DataFrame:
 
 
 def stripped(code: Column) -> Column:
-    """X15, the variant on whole texts: without // comments and quoted strings (quotes too)."""
-    return F.regexp_replace(code, r"""//[^\n]*|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`[^`]*`""", "")
+    """X15, the variant on whole texts: without // comments and double-quoted strings (quotes too), which end at a quote that doesn't follow a backslash."""
+    return F.regexp_replace(code, r'''//[^\n]*|"[\s\S]*?(?:(?<!\\)"|\z)''', "")
 
 
 def verdicts(surfaces: DataFrame, book: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Searches advance a frontier by joins and keep what they have seen in the shared
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -112,9 +113,20 @@ class CodeGraph:
         return changed.select("file").unionByName(methods.join(near, "node_id", "left_semi").select("file")).distinct()
 
     def page(self, node_type: str, drop: int, take: int) -> DataFrame:
-        """SRC16, O08."""
+        """O08."""
         return self.by_type(node_type).orderBy("node_id").offset(drop).limit(take)
 
+    def after(self, node_type: str, last: str, take: int) -> DataFrame:
+        """A page by key: the next nodes after an id; nothing before it is sorted again."""
+        return self.by_type(node_type).where(F.col("node_id") > last).orderBy("node_id").limit(take)
+
+    def pages(self, node_type: str, take: int = 500) -> Iterator[list]:
+        """SRC16: pages of rows until one is empty, for a reader outside of Spark."""
+        last = ""
+        while rows := self.after(node_type, last, take).collect():
+            yield rows
+            last = rows[-1]["node_id"]
+
 
 def nearest_surface(sources: DataFrame, callers: DataFrame, surfaces: DataFrame, levels: int = 6, give_up: int = 2) -> DataFrame:
     """(source_id, surface_id) for sources with exactly one surface at the least distance up the callers.

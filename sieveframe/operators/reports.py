@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -24,18 +24,33 @@ def exit_code(findings: DataFrame, errors: bool = False) -> DataFrame:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """O02, with position: severity, then confidence, then input order. Positions come from sorted ranges, not from one task."""
+    """O02, with position: severity, then confidence (null last), then input order. Positions come from sorted ranges, not from one task."""
     rows = findings.withColumn("rank", X.severity_rank(F.col("severity")))
     sizes = rows.groupBy("rank").agg(F.count("*").alias("n"))
     before = sizes.alias("a").join(sizes.alias("b"), F.col("b.rank") < F.col("a.rank"), "left").groupBy(F.col("a.rank").alias("rank")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("offset"))
-    w = Window.partitionBy("rank", "bucket").orderBy(F.desc("conf"), "seq")
+    w = Window.partitionBy("rank", "bucket").orderBy(F.desc_nulls_last("conf"), "seq")
     # a hundred steps of confidence in each severity: groups shrink with the spread of scores
-    b = rows.withColumn("bucket", -F.floor(F.col("conf") * 100))
+    b = rows.withColumn("bucket", F.coalesce(-F.floor(F.col("conf") * 100), F.lit(1)))
     steps = b.groupBy("rank", "bucket").agg(F.count("*").alias("n"))
     starts = steps.withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     return b.withColumn("r", F.row_number().over(w)).join(starts, ["rank", "bucket"]).join(before, "rank").withColumn("position", (F.col("r") + F.col("start") + F.col("offset")).cast("long")).drop("r", "start", "offset", "bucket", "rank")
 
 
+def title(summary: Column, justification: Column) -> Column:
+    """The summary, else what a confirmation in the justification explains, else its first 120 characters."""
+    j = F.coalesce(justification, F.lit(""))
+    part = lambda mark: F.regexp_extract(j, rf"(?s)^.+?{mark}.*?\): (.*)$", 1)
+    told = [F.when(j.rlike(rf"(?s)^.+?{m}.*?\): "), part(m)) for m in (r" — B5 confirmed \(conf=", " — B5 LLM confirmed")]
+    short = F.when(F.octet_length(j) > 120, F.concat(F.substring(j, 1, 117), F.lit("..."))).otherwise(j)
+    return F.when(F.coalesce(summary, F.lit("")) != "", summary).otherwise(F.coalesce(*told, short))
+
+
+def work_counts(items: DataFrame, key: str = "scan_id") -> DataFrame:
+    """items(status) by key, counted as pending, done and error."""
+    s = F.col("status")
+    return items.groupBy(key).agg(*[F.count_if(s == name).alias(name) for name in ("pending", "done", "error")])
+
+
 def file_groups(findings: DataFrame) -> DataFrame:
     """Counts by file with the position at which the file first appears in the ordered list."""
     return ordered(findings).groupBy("path").agg(F.count("*").alias("n"), F.min("position").alias("first_position"))

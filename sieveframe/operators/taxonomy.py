@@ -54,6 +54,29 @@ def classify(calls: DataFrame, table: DataFrame) -> DataFrame:
     return best.select("call_id", "b.*")
 
 
+def kinds(calls: DataFrame, table: DataFrame, sink: bool = True) -> DataFrame:
+    """call_id and kind of every call: the taxonomy's for its language, else the generic one of sinks, or the name itself of sources."""
+    from ..functions import expressions as X
+
+    own = classify(calls, table).select("call_id", F.col("kind").alias("__kind"))
+    name = F.col("call_name")
+    return calls.join(own, "call_id", "left").select("call_id", F.coalesce("__kind", X.generic_sink_kind(name) if sink else name).alias("kind"))
+
+
+def scope_calls(calls: DataFrame, scope: DataFrame, spark: SparkSession) -> DataFrame:
+    """calls(call_id, file, language, call_name) of the files in scope(path), as role source or sink with its kind."""
+    mine = calls.join(scope.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+    role = lambda table, bare, name: classify(mine, rules(spark, table, bare)).select("call_id", F.lit(name).alias("role"), "kind")
+    return role(SOURCES, False, "source").unionByName(role(SINKS, True, "sink"))
+
+
+def all_sinks(calls: DataFrame, spark: SparkSession) -> DataFrame:
+    """calls(call_id, language, call_name, full_name): sinks by name, and arguments of constructors (call name <init>) whose full name holds a sink type."""
+    by_name = classify(calls, rules(spark)).select("call_id", "kind")
+    made = calls.where("call_name = '<init>'").select("call_id", "language", F.col("full_name").alias("call_name"))
+    return by_name.unionByName(classify(made, rules(spark, CONSTRUCTOR_SINKS, bare=False)).select("call_id", "kind")).distinct()
+
+
 def sanitizes(calls: DataFrame) -> DataFrame:
     """call_id, sanitizes: whether any sanitizer of the language is part of the name."""
     from ..functions.expressions import any_of

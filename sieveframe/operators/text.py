@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
+
 
 def lines(files: DataFrame) -> DataFrame:
     """SRC04: files(path, text) → path, line (from 1), code."""
@@ -77,52 +79,51 @@ def strip_code(code: str) -> str:
     return "\n".join(out)
 
 
-def blank_strings(code: str) -> str:
-    """String literals of both kinds emptied."""
-    return re.sub(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", lambda m: m[0][0] * 2, code)
+_STRING = re.compile(r"""(["'])(?:\\.?|(?!\1)[^\\])*(\1?)""", re.S)
+
+
+def blank_strings(line: str) -> str:
+    """String literals of both kinds emptied; of one that isn't closed only the opening quote stays."""
+    return _STRING.sub(r"\1\2", line)
 
 
 def obfuscate(code: str) -> str:
-    """Without comments (block ones too), imports and string contents."""
-    out, comment, imports = [], False, False
+    """Without comments, packages, imports and string contents; blank lines go.
+
+    A line that opens a block comment without closing it goes whole, and so do all lines up to the one that closes it. An import block ends at a
+    line that is a closing parenthesis.
+    """
+    out, state = [], ""
     for line in code.split("\n"):
         s = line.strip()
-        if comment:
-            comment = "*/" not in s
-            continue
-        if s.startswith("/*"):
-            comment = "*/" not in s
-            continue
-        if imports:
-            imports = not s.startswith(")")
-            continue
-        if s.startswith("import ("):
-            imports = True
-            continue
-        if not s or s.startswith(("//", "#", "import ", "from ", "package ", "*")):
-            continue
-        out.append(blank_strings(line))
-    return "\n".join(out)
+        if state == "comment":
+            state = "" if "*/" in s else state
+        elif "/*" in s and "*/" not in s:
+            state = "comment"
+        elif s.startswith("package "):
+            pass
+        elif s.startswith("import "):
+            state = "imports" if s == "import (" else ""
+        elif state == "imports":
+            state = "" if s == ")" else state
+        elif s and not s.startswith(("//", "#", "-- ")):
+            out.append(blank_strings(line))
+    return "\n".join(out).strip()
 
 
 def byte_window(code: str, line: int, budget: int) -> str:
-    """Lines around a line, grown after, then before it, while they fit the budget of bytes."""
+    """Lines around a line (from 0), grown by one after and one before it in turn while they fit the budget of bytes, with marks
+    where the text goes on."""
     rows = code.split("\n")
-    at = min(max(line, 1), len(rows)) - 1
-    low = high = at
-    used = len(rows[at].encode())
-    grown = True
-    while grown:
-        grown = False
-        if high + 1 < len(rows) and used + len(rows[high + 1].encode()) + 1 <= budget:
-            high += 1
-            used += len(rows[high].encode()) + 1
-            grown = True
-        if low > 0 and used + len(rows[low - 1].encode()) + 1 <= budget:
-            low -= 1
-            used += len(rows[low].encode()) + 1
-            grown = True
-    return "\n".join(rows[low : high + 1])
+    size = [len(r.encode()) for r in rows]
+    low = high = min(max(line, 0), len(rows) - 1)
+    used, more = size[low], True
+    while more:
+        more = False
+        for at in (high + 1, low - 1):
+            if 0 <= at < len(rows) and used + size[at] + 1 <= budget:
+                low, high, used, more = min(low, at), max(high, at), used + size[at] + 1, True
+    return "... [truncated head]\n" * (low > 0) + "\n".join(rows[low : high + 1]) + "\n... [truncated tail]" * (high < len(rows) - 1)
 
 
 def _by_text(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
@@ -178,6 +179,11 @@ def strip_ansi(c: Column) -> Column:
     return F.regexp_replace(c, "\x1b\\[[0-9;]*[A-Za-z]", "")
 
 
+def method_count(c: Column) -> Column:
+    """X23, part: the number at the end of a console's answer, after its last " = " if it has one; null if it isn't one."""
+    return F.btrim(F.element_at(F.split(F.btrim(c, F.lit(" \t\n\r")), " = "), -1), F.lit(" \t\n\r")).try_cast("long")
+
+
 def fenced_block(c: Column, language: str = "diff") -> Column:
     """The first fenced block of that language, else the first of any."""
     own = F.regexp_extract(c, f"(?s)```{language}\\s*\\n(.*?)```", 1)
@@ -189,28 +195,38 @@ def diff_class(line: Column) -> Column:
     return F.when(line.startswith("+++") | line.startswith("---"), F.lit("header")).when(line.startswith("@@"), F.lit("hunk")).when(line.startswith("+"), F.lit("add")).when(line.startswith("-"), F.lit("del")).otherwise(F.lit("context"))
 
 
-#: Route declarations by framework; group 1 is the path.
-ROUTES = {"spring": r'@(?:Get|Post|Put|Delete|Patch|Request)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?"([^"]*)"', "flask": r"""@\w+\.route\(\s*['"]([^'"]*)['"]""", "fastapi": r"""@\w+\.(?:get|post|put|delete|patch)\(\s*['"]([^'"]*)['"]""", "express": r"""\b(?:app|router)\.(?:get|post|put|delete|patch|all)\(\s*['"`]([^'"`]*)['"`]""", "go": r'\.(?:HandleFunc|Handle|GET|POST|PUT|DELETE|PATCH)\(\s*"([^"]*)"'}
+# Names of weak algorithms (in sinks whatever their case, in code as written), safe and weak generators, and key patterns, as tried.
+WEAK_SINKS = ("MessageDigest.getInstance", "md5", "sha1", "sha-1", "DES", "RC4", "ECB", "crypto.MD5", "crypto.SHA1", "des", "rc4")
+WEAK_CODE = ("MD5", "SHA-1", "DES", "RC4", "ECB")
+SAFE_RANDOM = ("crypto/rand", "crypto.rand", "SecureRandom", "cryptoRandom")
+WEAK_RANDOM = ("math/rand", "math.rand", "new Random(", "Math.random(", "random.random(")
+KEY_NAMES = ("key", "iv", "secret", "password", "salt")
+LOW_ROUNDS = (("pbkdf2", 10000, "low PBKDF2 iterations"), ("bcrypt", 10, "low bcrypt work factor"))
 
 
-def routes(files: DataFrame, framework: str) -> DataFrame:
-    """Path, route of each declaration."""
-    return files.select("path", F.explode(F.regexp_extract_all("text", F.lit(ROUTES[framework]), 1)).alias("route"))
+def crypto_findings(surfaces: DataFrame) -> DataFrame:
+    """surfaces(surface_id, line, code, sink_nodes) → surface_id, cwe, line, matched, conf of each weakness, at most one of a kind.
 
-
-def crypto_findings(files: DataFrame) -> DataFrame:
-    """files(path, text) → path, cwe, line of the first weak use of each kind."""
-    low = F.lower("text")
-    weak = F.greatest(*[F.instr(low, w) for w in ("md5", "sha1", "des", "rc4")])
-    weak = F.when(weak > 0, F.array_min(F.filter(F.array(*[F.instr(low, w) for w in ("md5", "sha1", "des", "rc4")]), lambda p: p > 0)))
-    at = lambda rx: F.when(F.regexp_instr("text", F.lit(rx)) > 0, F.regexp_instr("text", F.lit(rx)))
-    secret = at(r"(?i)(?:password|secret|api_?key|token)\s*[:=]\s*[\"']?[A-Za-z0-9]{8,}")
-    rounds = F.regexp_extract("text", r"(?i)(?:iterations|rounds)\s*[:=]\s*([0-9]{1,9})", 1)
-    few = F.when((rounds != "") & (rounds.try_cast("int") < 10000), at(r"(?i)(?:iterations|rounds)\s*[:=]\s*[0-9]{1,9}"))
-    rand = at(r"Math\.random\(|new Random\(|random\.random\(|math/rand")
-    found = F.array(*[F.struct(F.lit(cwe).alias("cwe"), p.alias("p")) for cwe, p in (("CWE-327", weak), ("CWE-321", secret), ("CWE-338", rand), ("CWE-916", few))])
-    hit = files.select("path", "text", F.explode(F.filter(found, lambda x: x["p"].isNotNull())).alias("f"))
-    return hit.select("path", F.col("f.cwe").alias("cwe"), F.size(F.split(F.expr("substring(text, 1, f.p - 1)"), "\n")).alias("line"))
+    line: of the function, to which line feeds before the match are added; a match in a sink is on the function's line. Matches are cut at 120
+    characters. CWE-327: weak algorithms, sinks first. CWE-321: a literal key. CWE-338: weak generators, none if a safe one is seen. CWE-916: few rounds.
+    """
+    code, sinks = F.coalesce("code", F.lit("")), F.coalesce("sink_nodes", F.array().cast("array<string>"))
+    in_sink = lambda w: F.exists(sinks, lambda s: F.lower(s).contains(w.lower()))
+    hit = lambda cond, matched, at: F.when(cond, F.struct(matched.alias("matched"), at.cast("int").alias("at")))
+    sunk = lambda w: hit(in_sink(w), F.lit(w), F.lit(0))
+    told = lambda w: hit(code.contains(w), F.lit(w), F.instr(code, w))
+    found = lambda rx: hit(code.rlike(rx), F.regexp_extract(code, rx, 0), F.regexp_instr(code, F.lit(rx)))
+    few = lambda name, least: F.regexp_extract(code, rf"(?i){name}.*?\b([0-9]+)\b", 1).try_cast("long").between(1, least - 1)
+    kinds = {
+        "CWE-327": F.coalesce(*map(sunk, WEAK_SINKS), *map(told, WEAK_CODE)),
+        "CWE-321": F.coalesce(*[found(rf'{k}\s*=\s*"') for k in KEY_NAMES]),
+        "CWE-338": F.when(~X.contains_any(code, SAFE_RANDOM) & ~F.exists(sinks, lambda s: X.contains_any(s, SAFE_RANDOM)), F.coalesce(*[f(w) for w in WEAK_RANDOM for f in (sunk, told)])),
+        "CWE-916": F.coalesce(*[F.when(few(name, least), found(rf"(?i){name}.*?\b([0-9]+)\b")) for name, least, _ in LOW_ROUNDS]),
+    }
+    each = F.array(*[F.struct(F.lit(cwe).alias("cwe"), got["matched"].alias("matched"), got["at"].alias("at")) for cwe, got in kinds.items()])
+    rows = surfaces.select("surface_id", "line", code.alias("code"), F.explode(F.filter(each, lambda x: x["matched"].isNotNull())).alias("f"))
+    above = F.when((F.col("f.at") > 0) & (F.col("line") > 0), F.size(F.split(F.expr("substring(code, 1, f.at - 1)"), "\n")) - 1).otherwise(0)
+    return rows.select("surface_id", F.col("f.cwe").alias("cwe"), F.greatest(F.lit(1), F.coalesce("line", F.lit(0)) + above).cast("int").alias("line"), F.substring("f.matched", 1, 120).alias("matched"), F.when(F.col("f.cwe") == "CWE-916", F.lit(0.80)).otherwise(F.lit(0.85)).alias("conf"))
 
 
 def common_parent(paths: list[str]) -> str:

@@ -56,7 +56,13 @@ def upsert_projects(stored: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(stored, n, ("root_path",))
 
 
-def finalize_run(runs: DataFrame, run_id: str, finished_at: int, files: int, findings: int, status: str = "done") -> DataFrame:
+def create_run(runs: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """SNK05: new runs with their defaults: started now, status running, mode default."""
+    own = {"started_at": F.when(F.coalesce("started_at", F.lit(0)) == 0, F.lit(now)).otherwise(F.col("started_at")).cast("long"), "status": F.when(F.coalesce("status", F.lit("")) == "", F.lit("running")).otherwise(F.col("status")), "scan_mode": F.when(F.coalesce("scan_mode", F.lit("")) == "", F.lit("default")).otherwise(F.col("scan_mode"))}
+    return runs.unionByName(new.select(*[own[c].alias(c) if c in own else F.col(c) for c in runs.columns]))
+
+
+def finalize_run(runs: DataFrame, run_id: str, finished_at: int, files: int, findings: int, status: str = "complete") -> DataFrame:
     """SNK05: error if the run isn't there."""
     if runs.where(F.col("run_id") == run_id).isEmpty():
         raise KeyError(run_id)
@@ -92,6 +98,46 @@ def finding_rows(findings: DataFrame, project: str, run: str, now: int) -> DataF
     return findings.select(*[own.get(c, F.lit("")).alias(c) for c in names])
 
 
+def persist(stored: dict[str, DataFrame], scored: DataFrame, project: str, run: str, now: int) -> dict[str, DataFrame]:
+    """SNK13: the new states of findings, ssvc_scores and poe_results.
+
+    Children are written only for findings that are: a row without an id is none. A score is written if any of its parts is set, a proof if it has a status.
+    """
+    good = scored.where("finding_id is not null and finding_id != ''")
+    filled = lambda *names: F.concat(*[F.coalesce(F.col(n), F.lit("")) if n in scored.columns else F.lit("") for n in names]) != ""
+    out = {"findings": upsert_findings(stored["findings"], finding_rows(good, project, run, now))}
+    for name, marks in (("ssvc_scores", ("exploitation", "automatable", "technical_impact")), ("poe_results", ("poe_status",))):
+        if name in stored:
+            rows = good.where(filled(*marks))
+            own = {"status": "poe_status", "confidence": "poe_confidence"} if name == "poe_results" else {}
+            cols = [F.col(own.get(c, c)).alias(c) if own.get(c, c) in scored.columns else F.lit(None).cast(stored[name].schema[c].dataType).alias(c) for c in stored[name].columns]
+            out[name] = upsert(stored[name], rows.select(*cols), schemas.KEYS[name])
+    return out
+
+
+def newest(findings: DataFrame, project: str, severity: str | None = None) -> DataFrame:
+    """A project's findings, of one severity if given, the newest first."""
+    mine = F.col("project_id") == project
+    return findings.where(mine if severity is None else mine & (F.col("severity") == severity)).orderBy(F.desc("first_seen_at"), "finding_id")
+
+
+def one(rows: DataFrame, **key: str) -> DataFrame:
+    """the row with that key, as a table of one row; KeyError if there is none."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name) == value)
+    got = rows.limit(1)
+    if got.isEmpty():
+        raise KeyError(key)
+    return got
+
+
+def exists(rows: DataFrame, **key: str) -> bool:
+    """A19."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name) == value)
+    return not rows.limit(1).isEmpty()
+
+
 def commit(spark: SparkSession, state: DataFrame, root: str, name: str) -> str:
     """Write a snapshot beside the others and point to it; readers of the old one are undisturbed."""
     path = f"{root}/{name}/v-{uuid.uuid4().hex}"

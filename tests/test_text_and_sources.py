@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveframe.functions import expressions as X
-from sieveframe.operators import text
+from sieveframe.operators import contracts, routes, text
 from sieveframe.sources import readers
 from sieveframe.streaming import incremental
 from sieveframe.sources import store
@@ -50,9 +50,9 @@ def test_windows_and_braces(spark):
 
 def test_bytes(spark):
     assert col(spark, lambda c: text.truncate_utf8(c, F.lit(3)), "éé", "abc", None, "日") == ["é", "abc", None, "日"]
-    assert text.byte_window("aa\nbbbb\ncc\ndd", 2, 8) == "bbbb\ncc" and text.byte_window("a", 9, 1) == "a"
+    assert text.byte_window("aa\nbbbb\ncc\ndd", 1, 8) == "... [truncated head]\nbbbb\ncc\n... [truncated tail]" and text.byte_window("a", 9, 1) == "a" and text.byte_window("a\nb\nc", 1, 99) == "a\nb\nc"
     assert text.strip_code('x = "a//b"; // c\ny') == 'x = ""; \ny' and text.blank_strings("f('a', \"b\")") == "f('', \"\")"
-    assert text.obfuscate('import x\n/* a\n b */\nfoo("s") \n// c') == 'foo("") '
+    assert text.obfuscate('import x\n/* a\n b */\nfoo("s") \n// c') == 'foo("")'
     assert text.common_parent(["a/b/c", "a/b/d/e", "a/b/f"]) == "a/b"
 
 
@@ -62,11 +62,71 @@ def test_verdict_salvage(reply, want):
     assert (json.loads(got) if got else None) == want
 
 
-def test_crypto_and_routes(spark):
-    files = spark.createDataFrame([("a", "x\nMessageDigest MD5\nrounds = 500"), ("b", "clean")], "path string, text string")
-    assert {tuple(r) for r in text.crypto_findings(files).collect()} == {("a", "CWE-327", 2), ("a", "CWE-916", 3)}
-    r = spark.createDataFrame([("a", '@GetMapping("/u/{id}")\n@PostMapping(value = "/v")')], "path string, text string")
-    assert {x.route for x in text.routes(r, "spring").collect()} == {"/u/{id}", "/v"}
+def test_crypto(spark):
+    cases = {
+        "a": (10, "x\nMessageDigest.getInstance(\"MD5\")", [], {("CWE-327", 11, "MD5", 0.85)}),
+        "b": (10, "MD5 describe", ["x.sha1sum"], {("CWE-327", 10, "sha1", 0.85)}),  # sinks come first, on the function's line
+        "c": (3, 'describe desk\n\nString key = "abc"; salt = "x"', [], {("CWE-321", 5, 'key = "', 0.85)}),
+        "d": (0, "int r = Math.random();", [], {("CWE-338", 1, "Math.random(", 0.85)}),
+        "e": (1, "SecureRandom r; Math.random()", [], set()),
+        "f": (1, "Math.random()", ["java.security.SecureRandom"], set()),
+        "g": (7, "\nPBKDF2(password, 5000)\nbcrypt(4)", None, {("CWE-916", 8, "PBKDF2(password, 5000", 0.80)}),
+        "h": (7, "pbkdf2 10000 and bcrypt 9", [], {("CWE-916", 7, "bcrypt 9", 0.80)}),
+        "i": (7, None, None, set()),
+    }
+    df = spark.createDataFrame([(k, *v[:3]) for k, v in cases.items()], "surface_id string, line int, code string, sink_nodes array<string>")
+    got = {}
+    for r in text.crypto_findings(df).collect():
+        got.setdefault(r.surface_id, set()).add((r.cwe, r.line, r.matched, r.conf))
+    assert got == {k: v[3] for k, v in cases.items() if v[3]}
+
+
+JAVA = """package x;
+@RequestMapping(value = "/api/")
+public class Users {
+
+  @GetMapping("users/{id}")
+  public User find(String id) {
+    return db.find(id);
+  }
+
+  @RequestMapping (method = RequestMethod.POST, value = "/users")
+  public void add(User u) {
+  }
+
+  @DeleteMapping()
+  void drop() {
+"""
+PYTHON = """@app.route("/login", methods=["POST", "GET"])
+def login():
+    pass
+
+
+@router.put('/items')
+async def put(): pass
+
+
+@app.route("")
+def root(): pass
+"""
+EXPRESS = "app.get('/a', show)\nrouter . post('/x', other)\nrouter.post ( \"/b\" , save)\napp.get('/c', save)"
+GO = 'http.HandleFunc("/h", handle)\nr.GET("/g", list)\nr.Post("/p", handle)'
+
+
+def test_routes(spark):
+    files = spark.createDataFrame([("U.java", "java", JAVA), ("v.py", "python", PYTHON), ("r.js", "js", EXPRESS), ("m.go", "go", GO)], "path string, language string, text string")
+    rows = [("find", "U.java", 6), ("add", "U.java", 11), ("drop", "U.java", 15), ("none", "U.java", 1), ("login", "v.py", 2), ("put", "v.py", 7), ("root", "v.py", 11), ("show", "r.js", 9), ("save", "r.js", 9), ("lost", "r.js", 1), ("handle", "m.go", 1), ("list", "m.go", 1)]
+    got = {r.node_id: (r.verb, r.route) for r in routes.routes(spark.createDataFrame([(n, n, f, k) for n, f, k in rows], "node_id string, name string, file string, line int"), files).collect()}
+    assert got == {"find": ("GET", "/api/users/{id}"), "add": ("POST", "/api/users"), "drop": ("DELETE", "/api"), "login": ("POST", "/login"), "put": ("PUT", "/items"), "root": ("GET", "/"), "show": ("GET", "/a"), "save": ("POST", "/b"), "handle": ("GET", "/h"), "list": ("GET", "/g")}
+
+
+def test_stripped_and_obfuscated(spark):
+    code = ['x("a//b") // c', "it's 'executeQuery' `raw`", '"a \\" b" y // "z"', '"open', 'a // b\n"c\nd" e', '""z']
+    assert col(spark, contracts.stripped, *code) == ["x() ", "it's 'executeQuery' `raw`", " y ", "", "a \n e", "z"]
+    assert text.blank_strings("f('a', \"b\") 'it") == "f('', \"\") '" and text.blank_strings('"a\\"b" "c\\') == '"" "'
+    assert text.obfuscate("package a;\nimport (\n \"x\"\n)\nint a = 1; /* open\n* gone\n*/ gone too\n * stays\n-- sql\n--i;\nfrom x import y\nimport z\n  s = 'v' /* c */ \n# h") == "* stays\n--i;\nfrom x import y\n  s = '' /* c */"
+    lines = "\n".join(f"line{k}" for k in range(20))
+    assert text.byte_window(lines, 10, 18) == "... [truncated head]\nline9\nline10\n... [truncated tail]".replace("line9\nline10", "line10\nline11") and text.byte_window(lines, 99, 5).endswith("\nline19")
 
 
 def test_reports(spark):
