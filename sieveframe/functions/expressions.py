@@ -48,7 +48,8 @@ def choose(pairs: list[tuple[Column, Column]], default: Column) -> Column:
 
 
 def mapped(key: Column, table: dict[str, str], default: str) -> Column:
-    return choose([(key == k, F.lit(v)) for k, v in table.items()], F.lit(default))
+    """By a constant map, so that the key is evaluated once however many entries there are."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(default))
 
 
 def text(c: Column) -> Column:
@@ -208,7 +209,8 @@ def automatable(cwe: Column) -> Column:
 
 
 def technical_impact(cwe: Column, cvss: Column) -> Column:
-    return choose([(F.regexp_extract(cwe, r"^CWE-(\d+)$", 1) == k, F.lit(v)) for k, v in IMPACT.items()], F.when(cvss >= 7, F.lit("Total")).otherwise(F.lit("Partial")))
+    own = mapped(F.regexp_extract(cwe, r"^CWE-(\d+)$", 1), IMPACT, "")
+    return F.when(own != "", own).when(cvss >= 7, F.lit("Total")).otherwise(F.lit("Partial"))
 
 
 def exploitation(exploited: Column, epss: Column, active: float = 0.5, poc: float = 0.1) -> Column:

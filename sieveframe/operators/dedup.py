@@ -47,15 +47,18 @@ def merge_exact(findings: DataFrame) -> DataFrame:
     )
     out = groups.withColumn("src", F.when((F.col("n") > 1) & F.col("crossed"), F.lit("BOTH")).otherwise(F.col("w.src")))
     out = out.withColumn("pinned", F.col("pins") > 0).withColumn("sev", F.when(F.col("pins") > 0, F.col("pin_sev")).otherwise(F.col("w.severity")))
-    many = out.where("pins > 1 or (others and crossed)").select("__key")
+    special = {"src": F.col("src"), "pinned": F.col("pinned"), "severity": F.col("sev")}
+    whole = lambda df: df.select(*[special.get(c, F.col(f"w.{c}")).alias(c) for c in findings.columns], F.col("n").alias("n_merged"))
+    if findings.where(F.col("pinned") | ~F.col("src").isin("PATTERN", "SEMANTIC", "BOTH")).isEmpty():
+        return whole(out)  # no group can need the fold: one shuffle of the rows is all
+    many = rows.groupBy("__key").agg(F.count_if("pinned").alias("pins"), F.bool_or(~F.col("src").isin("PATTERN", "SEMANTIC", "BOTH")).alias("others"), (cross | both).alias("crossed")).where("pins > 1 or (others and crossed)").select("__key")
     folded = rows.join(many, "__key").groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("conf").alias("c"), F.col("src").alias("s"), F.col("pinned").alias("p"), F.col("severity").alias("sev")))).alias("a"))
     fold = """aggregate(slice(a, 2, greatest(size(a) - 1, 0)), struct(a[0].c as c, a[0].s as s, a[0].p as p, a[0].sev as sev), (w, r) -> struct(
       if(r.c > w.c, r.c, w.c) as c,
       case when 'BOTH' in (w.s, r.s) or (w.s in ('PATTERN', 'SEMANTIC') and r.s in ('PATTERN', 'SEMANTIC') and w.s <> r.s) then 'BOTH' when r.c > w.c then r.s else w.s end as s,
       w.p or r.p as p, case when r.c > w.c then if(w.p, w.sev, r.sev) else if(r.p, r.sev, w.sev) end as sev))"""
     out = out.join(folded.select("__key", F.expr(fold).alias("f")), "__key", "left").withColumn("sev", F.coalesce("f.sev", "sev")).withColumn("src", F.coalesce("f.s", "src"))
-    special = {"src": F.col("src"), "pinned": F.col("pinned"), "severity": F.col("sev")}
-    return out.select(*[special.get(c, F.col(f"w.{c}")).alias(c) for c in findings.columns], F.col("n").alias("n_merged"))
+    return whole(out)
 
 
 def scored(findings: DataFrame, exploited: Column | None = None, epss: Column | None = None, cfg: Config = Config()) -> DataFrame:

@@ -21,9 +21,12 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
 
 
-def depths(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
-    """(id, depth), the least number of hops from any seed(id); seeds are at 0. Cycles are harmless."""
-    steps = cut(edges.select(F.col("from_id"), F.col("to_id")).distinct())  # else made anew at every hop
+def depths(edges: DataFrame, seeds: DataFrame, limit: int | None = None, prepared: bool = False) -> DataFrame:
+    """(id, depth), the least number of hops from any seed(id); seeds are at 0. Cycles are harmless.
+
+    prepared: the edges are distinct and cut off from their plan already.
+    """
+    steps = edges if prepared else cut(edges.select(F.col("from_id"), F.col("to_id")).distinct())  # else made anew at every hop
     seen = cut(seeds.select(F.col("id")).distinct().withColumn("depth", F.lit(0)))
     at = 0
     while limit is None or at < limit:
@@ -41,6 +44,23 @@ def reachable(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> D
     return depths(edges, seeds, limit).select("id")
 
 
+def masks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seeds(id, mask) → (id, mask): for every node that any seed reaches, the bits of all seeds that reach it. One search for all bits; edges as
+    `depths` takes them prepared. A node is passed on again only with bits that are new to it."""
+    seen = front = cut(seeds.groupBy("id").agg(F.bit_or("mask").alias("mask")))
+    at = 0
+    while True:
+        got = edges.join(front.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.bit_or("mask").alias("got"))
+        known = seen.groupBy("id").agg(F.bit_or("mask").alias("known"))
+        new = F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0))))
+        front = cut(got.join(known, "id", "left").select("id", new.alias("mask")).where("mask != 0"))
+        if front.isEmpty():
+            return seen.groupBy("id").agg(F.bit_or("mask").alias("mask"))
+        seen, at = seen.unionByName(front), at + 1
+        if at % 8 == 0:
+            seen = cut(seen.groupBy("id").agg(F.bit_or("mask").alias("mask")))
+
+
 @dataclass(frozen=True)
 class CodeGraph:
     """nodes(project_id, cpg_version, node_id, node_type, name, file, line, code), edges(project_id, cpg_version, from_id, to_id, edge_type) of one project and version."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import contains_any
+
 # Route declarations.
 JAVA_MAPPING = r"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*\(([^)]*)\)"
 JAVA_PREFIX = r'@RequestMapping\s*\(\s*(?:value\s*=\s*)?"([^"]*)"'
@@ -32,10 +34,7 @@ def annotated(lines: Column, line: Column, marks: tuple[str, ...]) -> Column:
     """Whether one of the marks stands on the lines from line - 6 (from 0) up to line + 4, that one left out."""
     start = F.greatest(line - 6, F.lit(0))
     part = F.slice(lines, start + 1, F.greatest(F.least(line + 4, F.size(lines)) - start, F.lit(0)))
-    found = F.lit(False)
-    for m in marks:
-        found = found | F.exists(part, lambda x, m=m: x.contains(m))
-    return F.coalesce((line > 0) & found, F.lit(False))
+    return F.coalesce((line > 0) & F.exists(part, lambda x: contains_any(x, marks)), F.lit(False))
 
 
 def class_line(lines: Column, line: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,18 @@ def boundary_bits(files: DataFrame, packages: dict[tuple[str, int], tuple[str, .
     """A18, SRC02: files(path, text) with a boundary, as (path, bits): over the first lines, which kinds of packages occur.
 
     Prefixes hold no line feed, so looking at the head of the text at once is the same as line by line."""
-    head = F.substring_index("text", "\n", IMPORT_LINES)
     ext = X.extension(F.col("path"))
-    bits = F.lit(0)
-    for kind in (SOURCE, SINK, AUTH, STORAGE):
-        hit = X.any_of([(ext == e) & X.contains_any(F.col("head"), names) for (e, k), names in packages.items() if k == kind])
-        bits = bits.bitwiseOR(F.when(hit, F.lit(kind)).otherwise(F.lit(0)))
-    return files.select("path", head.alias("head")).select("path", bits.alias("bits")).where("bits > 0")
+
+    def bits(head: Column) -> Column:
+        out = F.lit(0)
+        for (e, kind), names in packages.items():
+            any_name = "|".join("\\Q" + n + "\\E" for n in names)
+            out = out.bitwiseOR(F.when((ext == e) & head.rlike(any_name), F.lit(kind)).otherwise(F.lit(0)))
+        return out
+
+    # through a lambda, whose variable holds the head: as a column it would be cut off anew for every pattern
+    found = F.get(F.transform(F.array(F.substring_index("text", "\n", IMPORT_LINES)), bits), F.lit(0))
+    return files.select("path", found.alias("bits")).where("bits > 0")
 
 
 def is_auth_method(name: Column, code: Column) -> Column:
@@ -47,44 +54,56 @@ def is_auth_method(name: Column, code: Column) -> Column:
     return X.contains_any(F.lower(name), X.AUTH_WORDS) | X.contains_any(X.text(code), X.AUTH_ANNOTATIONS)
 
 
-def select_surfaces(methods: DataFrame, calls: DataFrame, file_bits: DataFrame) -> DataFrame:
-    """methods(node_id, name, file, code) on a path from a source file to a sink file, auth seeds among them,
-    as (surface_id, name, file, kind, depth).
+@dataclass(frozen=True)
+class Reach:
+    """What the searches find: methods with bits, the auth seeds, hops from sources and for each method the boundaries that it can reach."""
 
-    IDOR candidates are those that can't reach an auth seed and whose name or file says they handle a resource.
-    """
+    methods: DataFrame
+    auth: DataFrame
+    forward: DataFrame
+    masks: DataFrame
+
+
+def reach(methods: DataFrame, calls: DataFrame, file_bits: DataFrame) -> Reach:
+    """One search forward from source files and one backward from sinks, auth seeds and storage at once, over edges that are prepared once."""
     m = cut(methods.join(file_bits.select(F.col("path").alias("file"), "bits"), "file", "left").withColumn("bits", F.coalesce("bits", F.lit(0))))
-    calls = cut(calls.select("from_id", "to_id").distinct())
+    steps = cut(calls.select("from_id", "to_id").distinct())
     has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) > 0
-    ids = lambda df: df.select(F.col("node_id").alias("id"))
     auth_files = m.where(has(AUTH))
     named = auth_files.where(is_auth_method(F.col("name"), F.col("code")))
-    auth = named if not named.isEmpty() else auth_files
-    sources, sinks = m.where(has(SOURCE)), m.where(has(SINK))
-    back = graph.reversed_edges(calls)
-    forward = graph.depths(calls, ids(sources))
-    backward = graph.reachable(back, ids(sinks))
-    to_auth = graph.reachable(back, ids(auth)).withColumn("meets_auth", F.lit(True))
-    on_path = m.join(forward.withColumnRenamed("id", "node_id"), "node_id").join(backward.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
-    own = on_path.join(to_auth.withColumnRenamed("id", "node_id"), "node_id", "left").join(ids(auth).distinct().select(F.col("id").alias("node_id"), F.lit(True).alias("is_auth")), "node_id", "left")
+    auth = (named if not named.isEmpty() else auth_files).select(F.col("node_id").alias("id")).distinct()
+    forward = graph.depths(steps, m.where(has(SOURCE)).select(F.col("node_id").alias("id")), prepared=True)
+    own = m.where(has(SINK | STORAGE)).select(F.col("node_id").alias("id"), F.col("bits").bitwiseAND(F.lit(SINK | STORAGE)).alias("mask"))
+    masks = graph.masks(graph.reversed_edges(steps), own.unionByName(auth.withColumn("mask", F.lit(AUTH))))
+    return Reach(m, auth, forward, masks)
+
+
+def select_surfaces(methods: DataFrame, calls: DataFrame, file_bits: DataFrame, found: Reach | None = None) -> DataFrame:
+    """methods(node_id, name, file, code) on a path from a source file to a sink file, auth seeds among them,
+    as (surface_id, name, file, kind, depth).
+
+    IDOR candidates are those that can't reach an auth seed and whose name or file says they handle a resource.
+    """
+    r = found or reach(methods, calls, file_bits)
+    to = lambda bit: F.col("mask").bitwiseAND(F.lit(bit)) > 0
+    on_path = r.methods.join(r.forward.withColumnRenamed("id", "node_id"), "node_id").join(r.masks.where(to(SINK)).withColumnRenamed("id", "node_id"), "node_id")
+    own = on_path.join(r.auth.select(F.col("id").alias("node_id"), F.lit(True).alias("is_auth")), "node_id", "left")
     signal = X.contains_any(F.lower("name"), X.IDOR_SIGNALS) | X.contains_any(F.lower("file"), X.IDOR_SIGNALS)
-    kind = F.when(F.col("is_auth"), F.lit("auth_boundary")).when(F.col("meets_auth").isNull() & signal, F.lit("idor_candidate")).otherwise(F.lit("external_input"))
+    kind = F.when(F.col("is_auth"), F.lit("auth_boundary")).when(~to(AUTH) & signal, F.lit("idor_candidate")).otherwise(F.lit("external_input"))
     return own.select(F.col("node_id").alias("surface_id"), "name", "file", kind.alias("kind"), "depth")
 
 
-def second_order(methods: DataFrame, calls: DataFrame, file_bits: DataFrame) -> DataFrame:
-    """Methods that can reach both a storage file and a sink file, kind external_input, depth 0."""
-    m = cut(methods.join(file_bits.select(F.col("path").alias("file"), "bits"), "file"))
-    calls = cut(calls.select("from_id", "to_id").distinct())
-    back = graph.reversed_edges(calls)
-    to = lambda bit: graph.reachable(back, m.where(F.col("bits").bitwiseAND(F.lit(bit)) > 0).select(F.col("node_id").alias("id")))
-    both = to(STORAGE).join(to(SINK), "id", "left_semi")
+def second_order(methods: DataFrame, calls: DataFrame, file_bits: DataFrame, found: Reach | None = None) -> DataFrame:
+    """Nodes that can reach both a storage file and a sink file, kind external_input, depth 0."""
+    r = found or reach(methods, calls, file_bits)
+    both = r.masks.where(F.col("mask").bitwiseAND(F.lit(STORAGE | SINK)) == STORAGE | SINK).select("id")
     return both.join(methods.withColumnRenamed("node_id", "id"), "id", "left").select(F.col("id").alias("surface_id"), X.text(F.col("name")).alias("name"), X.text(F.col("file")).alias("file"), F.lit("external_input").alias("kind"), F.lit(0).alias("depth"))
 
 
 def all_surfaces(methods: DataFrame, calls: DataFrame, file_bits: DataFrame) -> DataFrame:
     """Second-order ones only where absent; by kind, depth and id."""
-    first = select_surfaces(methods, calls, file_bits)
-    more = second_order(methods, calls, file_bits).join(first.select("surface_id"), "surface_id", "left_anti")
+    found = reach(methods, calls, file_bits)
+    first = select_surfaces(methods, calls, file_bits, found)
+    more = second_order(methods, calls, file_bits, found).join(first.select("surface_id"), "surface_id", "left_anti")
     rank = X.choose([(F.col("kind") == k, F.lit(v)) for k, v in KIND_RANK.items()], F.lit(0))
     return first.unionByName(more.select(*first.columns)).orderBy(rank.desc(), "depth", "surface_id")

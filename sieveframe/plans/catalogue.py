@@ -381,14 +381,6 @@ def j20_fan_in_guard(t: Tables) -> DataFrame:
     return enrich.fan_in_guard(t.edges.select(F.col("to_id").alias("sink_name"), F.col("from_id").alias("surface_id")), 1)
 
 
-@query()
-def g05_nearest_surface(t: Tables) -> DataFrame:
-    """Early stop and ambiguity by source: iterative, tested against brute force."""
-    sources = t.edges.select(F.col("to_id").alias("source_id")).distinct()
-    callers = t.edges.select(F.col("to_id").alias("node_id"), F.col("from_id").alias("caller_id"))
-    return graph.nearest_surface(sources, callers, t.edges.where("from_id like '%3'").select(F.col("from_id").alias("surface_id")).distinct())
-
-
 @query("""select surface_id, case when kind = 'auth_boundary' then case when sanitized then 'Safe' else 'Inconclusive' end when a is null then 'Inconclusive' when hop = 0 then 'Inconclusive' when sanitized or safe then 'Safe' else 'Violation' end as verdict,
   case when kind = 'auth_boundary' then case when sanitized then '' else 'CWE-862' end when a is null then 'CWE-22' when hop > 0 and (sanitized or safe) then '' else a end as cwe from (
   select seq as surface_id, case when seq % 9 = 0 then 'auth_boundary' else 'external_input' end as kind, case seq % 4 when 0 then 'CWE-89' when 1 then 'CWE-78' when 2 then 'CWE-918' end as a, seq % 5 as hop, seq % 6 = 0 as sanitized,
@@ -475,12 +467,6 @@ def x17_minified(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.minified(F.col("text")).alias("code"))
 
 
-@query()
-def x12_truncate_utf8(t: Tables) -> DataFrame:
-    """Bytes, not characters: tested by round trips."""
-    return t.documents.select("doc_id", text.truncate_utf8(F.col("text"), F.lit(200)).alias("head"))
-
-
 @query("with w as (select doc_id, text, string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+') as a from documents) select doc_id, case when len(a) > 25 then array_to_string(a[1:25], ' ') else text end as summary from w")
 def x13_first_words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.first_words(F.col("text"), 25).alias("summary"))
@@ -543,11 +529,6 @@ def src08_cve_reports(t: Tables) -> DataFrame:
     return enrich.cve_index(readers.cve_report(rows)).select("cve", "package", "key", F.round("cvss", 6).alias("cvss"))
 
 
-@query("select page_id as path, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as route from pages")
-def x14_routes(t: Tables) -> DataFrame:
-    return t.pages.select(F.col("page_id").alias("path"), F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("route"))
-
-
 @query("""with v as (select vec_id as id, label, embedding from embeddings)
 select a.id as id_a, b.id as id_b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as cosine, case when list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.4 then 'same' else 'near' end as kind
 from v a join v b on a.label = b.label and a.id < b.id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3""")
@@ -599,14 +580,6 @@ def a20_path_summary(t: Tables) -> DataFrame:
     return enrich.path_summary(p, with_steps=False).select("surface_id", F.array_join("sinks", ",").alias("sinks"), F.col("n_steps").cast("long").alias("n_steps"))
 
 
-@query("""with x as (select doc_id, text, lower(text) as low from documents), h as (
-  select doc_id, text, 'CWE-327' as cwe, list_min(list_filter([instr(low, 'md5'), instr(low, 'sha1'), instr(low, 'des'), instr(low, 'rc4')], lambda p: p > 0)) as p from x where contains(low, 'md5') or contains(low, 'sha1') or contains(low, 'des') or contains(low, 'rc4')
-  union all select doc_id, text, 'CWE-321', instr(text, regexp_extract(text, '(?i)(?:password|secret|api_?key|token)\\s*[:=]\\s*["'']?[A-Za-z0-9]{8,}')) from x where regexp_matches(text, '(?i)(?:password|secret|api_?key|token)\\s*[:=]\\s*["'']?[A-Za-z0-9]{8,}'))
-select doc_id as path, cwe, cast(len(string_split(substr(text, 1, cast(p as bigint) - 1), chr(10))) as int) as line from h""")
-def d24_crypto(t: Tables) -> DataFrame:
-    return text.crypto_findings(t.documents.select(F.col("doc_id").alias("path"), "text"))
-
-
 PATHS = """select event_id, case user_id % 3 when 0 then 'java' when 1 then 'python' else 'go' end as language, case event_id % 8 when 0 then 'sql' when 1 then 'command' when 2 then 'deserialization' when 3 then 'file_write' when 4 then 'template' when 5 then 'redirect' when 6 then 'eval' else 'other' end as kind,
   concat('src/m', cast(user_id as varchar(20))) as file, cast(event_id % 90 as int) + 1 as line, event_id % 4 = 0 as sanitized from events"""
 

@@ -112,9 +112,13 @@ def suppression_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """SRC13: rows of at least four fields, # comments left out."""
-    raw = spark.read.text(path).where(~F.col("value").startswith("#"))
-    parts = raw.select(F.split("value", ",").alias("p")).where(F.size("p") >= 4)
+    """SRC13."""
+    return truth_rows(spark.read.text(path))
+
+
+def truth_rows(lines: DataFrame) -> DataFrame:
+    """Lines(value) of at least four fields, # comments left out."""
+    parts = lines.where(~F.col("value").startswith("#")).select(F.split("value", ",").alias("p")).where(F.size("p") >= 4)
     at = lambda k: F.btrim(F.get("p", F.lit(k)))
     return parts.select(at(0).alias("test_name"), at(1).alias("category"), (F.lower(at(2)) == "true").alias("real_vuln"), at(3).try_cast("int").alias("cwe"))
 
