@@ -1,22 +1,25 @@
 """SentencePiece encoding and decoding by a weighted transducer.
 
-The model file is compiled into three machines:
+The model file is compiled into machines over the tropical semiring (weights add along a path, the least path wins):
 
-* the normaliser: blanks become U+2581, one is put before a text that isn't empty (identity otherwise);
-* the pieces: one arc per piece, labelled with its characters, that leaves the piece as the state;
-* byte fallback: a character that no piece spells costs one and yields its UTF-8 bytes.
+* the normaliser: blanks become U+2581, runs of them shrink and one is put before a text that isn't empty, as the model says. A table of
+  character rules (a precompiled charsmap) isn't compiled, and a model that has one is refused;
+* the pieces: one arc per piece, labelled with its characters. In a unigram model an arc weighs the piece's negative score, and there is one state.
+  In a BPE model the state is the last piece: an arc from piece a to piece b weighs 0 if "ab" is segmented as a|b and infinity if not. BPE
+  is local: a sequence of pieces is its result exactly if every two neighbours are, taken alone;
+* byte fallback: a character that no piece spells yields its UTF-8 bytes (or the unknown piece), at the weight that the model gives unknown pieces
+  (1 in a BPE model, where it is the only way);
+* user-defined pieces, which are cut out of the text first (BPE) or weigh less than all others of their length (unigram).
 
-A BPE model's result is local: a sequence of pieces is the result exactly if every two neighbours are,
-taken alone. So an arc from piece a to piece b weighs 0 if "ab" is segmented as a|b and infinity if not, and
-the composition with an input has one finite path, the tropical shortest. It is found depth first, longest
-arc first; positions shown to be dead ends are kept, so the search is linear in the arcs of the lattice.
-Two pieces of equal score have no order of their own, which only concerns runs of blanks: inputs
-with two blanks in a row are segmented by the merges themselves.
+Each input is composed with them as it is read, and the least path taken: in a unigram model by forward relaxation, in a BPE model, where all finite
+paths weigh the same, by the first one that is found, depth first, longest arc first; states shown to have no finite way on are kept, so
+the search is linear in the arcs of the composition.
 
 Inputs are cut before blanks, between a word and punctuation after it, and around line feeds and tabs, where the
 pieces show that no arc crosses; the segments' results are kept in a bounded table per worker.
 
-Nulls and empty texts give no ids. Ids of unknown numbers raise IndexError when decoded. Texts of any length
+Nulls and empty texts give no ids; rows with a null id are encoded like others; repeated rows get equal results; an empty table gives an empty
+result; other columns come along if asked for, whatever their names. Ids of unknown numbers raise IndexError when decoded. Texts of any length
 are encoded whole. Lone surrogates can't occur in Arrow strings.
 """
 
@@ -33,7 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLANK = "▁"
-NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+INFINITY = float("inf")
+#: How much worse than the worst piece of a unigram model an unknown character is.
+UNKNOWN_PENALTY = 10.0
 #: Segments kept per worker, in two generations of this size at most.
 CACHE = 250_000
 
@@ -82,7 +88,7 @@ class Machine:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.prefix, self.unknown, self.squeeze = True, 0, True
+        self.prefix, self.unknown, self.squeeze, self.unigram = True, 0, True, True
         for k, v in _fields(data):
             if k == 1:
                 got = dict(_fields(v))
@@ -90,29 +96,40 @@ class Machine:
                 self.scores.append(struct.unpack("<f", got[2])[0] if 2 in got else 0.0)
                 self.kinds.append(got.get(3, NORMAL))
             elif k == 2:
-                if dict(_fields(v)).get(3, 1) != 2:
-                    raise ValueError("only BPE models are supported")
+                kind = dict(_fields(v)).get(3, 1)
+                if kind not in (1, 2):
+                    raise ValueError("only unigram and BPE models are supported")
+                self.unigram = kind == 1
             elif k == 3:
                 got = dict(_fields(v))
                 if got.get(2):
-                    raise ValueError("only the identity normaliser is supported")
+                    raise ValueError("character rules of a normaliser are not supported")
                 self.prefix, self.squeeze = bool(got.get(3, 1)), bool(got.get(4, 1))
-        self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
+        kinds = list(zip(self.pieces, self.kinds, strict=True))
+        self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(kinds) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == NORMAL}
-        self.longest = max(map(len, self.ids))
+        self.ids = {p: i for i, (p, k) in enumerate(kinds) if k == NORMAL}
+        self.user = {p: i for i, (p, k) in enumerate(kinds) if k == USER}
+        if self.unigram:
+            own = [self.scores[i] for i in self.ids.values()] or [0.0]
+            self.arc_weights = {p: -self.scores[i] for p, i in self.ids.items()} | {p: 0.1 - len(p.encode()) * max(0.0, *own) for p in self.user}
+            self.ids |= self.user
+            self.missing = UNKNOWN_PENALTY - min(own)
+            self.heads = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=len, reverse=True))) + ")") if self.user and not self.unigram else None
+        self.longest = max(map(len, self.ids), default=1)
         self.inner = frozenset(c for p in self.ids if len(p) > 1 for c in p)
         self.split: dict[int, tuple[int, int]] = {}
         self.arcs: dict[str, int] = {}
         self.lengths: dict[str, tuple[int, ...]] = {}
-        self._compile()
-        self.surface = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(BLANK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.known: dict[int, bool] = {}
+        if not self.unigram:
+            self._compile()
+        blank = lambda p: p.replace(BLANK, " ").encode()
+        self.surface = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else blank(p) for p, k in kinds]
+        self.weights: dict[int, float] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.cut = self._cuts()
-        if any(BLANK in p.lstrip(BLANK) for p in self.ids):
-            raise ValueError("pieces with a blank inside are not supported")
+        self.cut = re.compile("(?s).+") if any(BLANK in p.lstrip(BLANK) for p in self.ids) else self._cuts()
 
     def _compile(self) -> None:
         """Keep the pieces that the merges can make, with their last merge, and the arcs' lengths by their first two and three characters."""
@@ -149,7 +166,7 @@ class Machine:
         return re.compile(run + (f"|[{alone}]" if alone else ""))
 
     def merges(self, text: str, split: dict | None = None) -> list[str]:
-        """Segments by merging the best-scored neighbours, the leftmost of equals: the definition, used for compiling and for runs of blanks."""
+        """Segments by merging the best-scored neighbours, the leftmost of equals: the definition, used for compiling."""
         ids, scores = self.ids, self.scores
         part: list[str | None] = list(text)
         left, right = list(range(-1, len(part) - 1)), list(range(1, len(part) + 1))
@@ -176,14 +193,14 @@ class Machine:
             offer(a, right[a])
         return [p for p in part if p is not None]
 
-    def joins(self, a: int, b: int) -> bool:
-        """Whether pieces a and b stay apart when their texts meet: no merge across the seam comes before both are whole."""
+    def weight(self, a: int, b: int) -> float:
+        """Of the arc from piece a to piece b: 0 if they stay apart when their texts meet, that is if no merge across the seam comes before both are whole."""
         key = a << 20 | b
-        got = self.known.get(key)
+        got = self.weights.get(key)
         if got is None:
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            got = self.known[key] = self._joins(a, b)
+            if len(self.weights) > 1_000_000:
+                self.weights.clear()
+            got = self.weights[key] = 0.0 if self._joins(a, b) else INFINITY
         return got
 
     def _joins(self, a: int, b: int) -> bool:
@@ -204,14 +221,35 @@ class Machine:
             else:
                 limit, b = at_b, split[b][0]
 
-    def segment(self, text: str) -> list[int]:
-        """Ids of the shortest path through the composition with a normalised text."""
-        if BLANK + BLANK in text:
-            out: list[int] = []
-            for p in self.merges(text):
-                out.extend(self._piece(p))
-            return out
-        n, arc, lengths, known = len(text), self.arcs.get, self.lengths.get, self.known.get
+    def shortest(self, text: str) -> list[int]:
+        """Ids of the least path through the composition with a normalised text."""
+        return self._relaxed(text) if self.unigram else self._first(text)
+
+    def _relaxed(self, text: str) -> list[int]:
+        """Tropical distances from the start, position by position; of equal ones the first found stays."""
+        n, heads, weights = len(text), self.heads, self.arc_weights
+        best, back = [0.0] + [INFINITY] * n, [0] * (n + 1)
+        for at in range(n):
+            here, single = best[at], False
+            for k in range(at + 1, n + 1):
+                p = text[at:k]
+                if p not in heads:
+                    break
+                w = weights.get(p)
+                if w is not None:
+                    single = single or k == at + 1
+                    if here + w < best[k]:
+                        best[k], back[k] = here + w, at
+            if not single and here + self.missing < best[at + 1]:
+                best[at + 1], back[at + 1] = here + self.missing, at
+        cuts, at = [], n
+        while at:
+            cuts.append(text[back[at] : at])
+            at = back[at]
+        return [i for p in reversed(cuts) for i in self._piece(p)]
+
+    def _first(self, text: str) -> list[int]:
+        n, arc, lengths, known = len(text), self.arcs.get, self.lengths.get, self.weights.get
         path: list[int | list[int]] = []
         back: list[tuple[Iterator[int], int, int]] = []  # arcs left to try, position and last piece before each step
         dead: set[tuple[int, int]] = set()
@@ -229,8 +267,8 @@ class Machine:
                         at, last = at + 1, -1
                         break
                     if last >= 0:
-                        fits = known(last << 20 | i)
-                        if not (self.joins(last, i) if fits is None else fits):
+                        w = known(last << 20 | i)
+                        if (self.weight(last, i) if w is None else w) == INFINITY:
                             continue
                     if at + k > n or dead and (at + k, i) in dead:
                         continue
@@ -238,7 +276,7 @@ class Machine:
                     path.append(i)
                     at, last = at + k, i
                     break
-                else:  # a dead end: one step back
+                else:  # no finite way on: one step back
                     if not path:
                         raise RuntimeError("no finite path")
                     dead.add((at, last))
@@ -264,19 +302,25 @@ class Machine:
     def encode(self, text: str | None) -> bytes:
         """Ids as native 32-bit numbers."""
         young, old, out = self.young, self.old, []
-        for part in self.cut.findall(self.normalise(text)):
+        text = self.normalise(text)
+        parts = self.cut.findall(text) if self.apart is None else [x for k, p in enumerate(self.apart.split(text)) for x in ((p,) if k % 2 else self.cut.findall(p))]
+        for part in parts:
             got = young.get(part)
             if got is None:
                 got = old.get(part)
                 if got is None:
-                    got = array("i", self.segment(part)).tobytes()
+                    own = self.user.get(part)
+                    got = array("i", self.shortest(part) if own is None else [own]).tobytes()
                 if len(part) <= 64:
                     if len(young) >= CACHE:
                         self.old, self.young = young, {}
                         young, old = self.young, self.old
                     young[part] = got
             out.append(got)
-        return b"".join(out)
+        if self.byte:
+            return b"".join(out)
+        ids = array("i", b"".join(out))  # a run of unknown pieces is one
+        return array("i", [i for k, i in enumerate(ids) if i != self.unknown or not k or ids[k - 1] != i]).tobytes()
 
     def decode(self, ids: array | list[int]) -> str:
         surface = self.surface
@@ -289,11 +333,11 @@ def machine(path: str) -> Machine:
     return Machine(path)
 
 
-SCHEMA = "doc_id bigint, n_tokens bigint, n_bytes bigint, ids array<int>, decoded string"
+SCHEMA = "doc_id bigint, n_tokens bigint, n_bytes bigint, ids array<int>"
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: the id (and the columns in ``keep``), n_tokens, n_bytes (ids from byte fallback), ids, and their decoding.
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decode: bool = True) -> DataFrame:
+    """One row per row of docs: the id (and the columns in ``keep``), n_tokens, n_bytes (ids from byte fallback), ids, and with ``decode`` their decoding.
 
     A map without shuffle: every text goes through the transducer of its worker, which is compiled once.
     """
@@ -303,7 +347,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
     path = model or default_model()
     kept = docs.select(*[F.col(c) for c in keep]).schema
-    schema = StructType([*kept.fields, *StructType.fromDDL(SCHEMA).fields])
+    schema = StructType([*kept.fields, *StructType.fromDDL(SCHEMA + ", decoded string" * decode).fields])
     arrow = to_arrow_schema(schema)
     rows = docs.select(*[F.col(c) for c in keep], F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
 
@@ -319,12 +363,13 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                     ids = array("i", got)
                     parts.append(got)
                     ends.append(ends[-1] + len(ids))
-                    decoded.append(m.decode(ids))
+                    if decode:
+                        decoded.append(m.decode(ids))
                     n_bytes.append(sum(1 for i in ids if low <= i <= high) if high >= 0 else 0)
                 values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(parts))])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
                 counts = pa.array([b - a for a, b in zip(ends, ends[1:], strict=False)], pa.int64())
-                own = [part.column(len(keep)), counts, pa.array(n_bytes, pa.int64()), lists.cast(arrow.field("ids").type), pa.array(decoded, pa.string())]
+                own = [part.column(len(keep)), counts, pa.array(n_bytes, pa.int64()), lists.cast(arrow.field("ids").type), *([pa.array(decoded, pa.string())] if decode else [])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*part.columns[: len(keep)], *own], arrow, strict=True)], schema=arrow)
 
     return rows.mapInArrow(run, schema)
