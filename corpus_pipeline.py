@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, n_bytes and ids of each row; null and empty texts have no ids."""
-    return sentencepiece.encode(docs, keep=("lang", "source")).select("doc_id", "lang", "source", "n_tokens", "n_bytes", "ids")
+    return sentencepiece.encode(docs, keep=("lang", "source"), decode=False).select("doc_id", "lang", "source", "n_tokens", "n_bytes", "ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("ngram_jaccard_join", drop_near_copies), ("mixing", mix_sources), ("sentencepiece", tokenize)]
