@@ -48,6 +48,8 @@ BANDS, ROWS = 24, 4
 STEP, TOLERANCE = 16, 1e-6
 #: Hashes in a block (8 MB), and sets in it at most; sets in a block of a bucket, where a set is a byte for each MinHash value.
 BLOCK, MEMBERS, BUCKET = 1_000_000, 1000, 8192
+#: Clusters of a few hundred sets are dealt to so many blocks, of LEAST sets at least, lest one task holds most of a small corpus.
+SPREAD, LEAST = 8, 200
 #: Keys with more than one in so many of the rows are broadcast; there are fewer than this.
 HOT_SHARE = 2000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -354,7 +356,7 @@ def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD, tolerance
     edges = materialize(bucket_forests(shared.join(classes.select("node", bytes_of.alias("sig8")), "node"), parts, t, tolerance))
     plain = classes.drop("sig")
     clusters = materialize(connected_components(edges).join(plain, "node").withColumnRenamed("component", "cluster"))
-    n_blocks = F.ceil(F.greatest(F.sum("n_shingles") / BLOCK, F.count("*") / MEMBERS)).cast("int")
+    n_blocks = F.ceil(F.greatest(F.sum("n_shingles") / BLOCK, F.count("*") / MEMBERS, F.least(F.lit(float(SPREAD)), F.count("*") / LEAST))).cast("int")
     blocks = materialize(clusters.groupBy("cluster").agg(n_blocks.alias("n_blocks"), F.count("*").alias("n")))
     members = join_hot(clusters, blocks, ["cluster"], "n", n_classes).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("n_blocks")).cast("int"))
     held = rows.join(members, rows.doc_id == members.id)
