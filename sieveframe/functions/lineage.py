@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, or the one that was set on the context.
 
-    Without either there is no folder that all executors share, and an error says so. Files go with the objects that need them where
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder of spark.checkpoint.dir, or the one that was set on the context.
+
+    Without either, executors share no folder that is known here: an error says so. Only in local mode, where there is one machine, a
+    temporary folder is taken, which goes with the process. On a cluster, files go with the objects that need them where
     spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not is_local(sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(folder or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        folder = tempfile.mkdtemp(prefix="checkpoints")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
+
+
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: the plan ends here, and a lost executor costs no recomputation of what lies before."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -5,33 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# CWEs by kind in order, anchors (calls that make a CWE relevant) and safe nodes.
-APPLICABLE = {"external_input": (22, 89, 78, 79, 94, 502, 918), "auth_boundary": (862, 89, 78), "idor_candidate": (862, 89, 78, 22), "dangerous_sink": (327,)}
-ANCHORS = {
-    89: "executeQuery|executeUpdate|createNativeQuery|createSQLQuery|Statement.execute|JdbcTemplate.query|JdbcTemplate.update|JdbcTemplate.queryForObject|JdbcTemplate.batchUpdate|cursor.execute|cursor.executemany|cursor.executescript|connection.execute|sqlalchemy.text|RawSQL|db.Query|db.Exec|db.QueryRow|sqlx.Query|sqlx.Exec|gorm.Raw|gorm.Exec|pool.query|connection.query|sequelize.query|knex.raw|createQueryBuilder|manager.query",
-    78: "Runtime.exec|ProcessBuilder.start|subprocess.Popen|subprocess.call|subprocess.run|subprocess.check_output|subprocess.check_call|os.system|os.popen|os.spawnl|os.spawnv|exec.Command|exec.CommandContext|child_process.exec|child_process.execSync|child_process.spawn|child_process.spawnSync|child_process.execFile|child_process.execFileSync",
-    22: "FileWriter|FileOutputStream|FileInputStream|FileReader|new File|Paths.get|Files.copy|Files.write|Files.readAllBytes|Files.newInputStream|ZipEntry|ZipInputStream|getCanonicalPath|getAbsolutePath|transferTo|file.transferTo|OutputStream.write|Files.newOutputStream|Files.newBufferedWriter|Files.createFile|Files.createTempFile|Files.move|os.path.join|pathlib.Path|shutil.copy|shutil.move|shutil.copyfile|zipfile.extract|zipfile.extractall|tarfile.extract|tarfile.extractall|send_file|send_from_directory|os.Open|os.OpenFile|os.Create|os.ReadFile|os.WriteFile|ioutil.ReadFile|ioutil.WriteFile|filepath.Join|http.ServeFile|zip.OpenReader|fs.readFile|fs.readFileSync|fs.writeFile|fs.writeFileSync|fs.createReadStream|fs.createWriteStream|path.join|path.resolve|res.sendFile|unzipper.Extract",
-    79: "PrintWriter.print|HttpServletResponse.print|out.println|response.getWriter|render_template_string|Markup|mark_safe|format_html|template.HTML|template.JS|Fprintf(w|innerHTML|outerHTML|document.write|dangerouslySetInnerHTML|v-html|insertAdjacentHTML|response.write|response.Send",
-    94: "ScriptEngine.eval|Nashorn.eval|JavaCompiler.compile|Compiler.compile|GroovyShell.evaluate|Method.invoke|Constructor.newInstance|eval|compile|__import__|plugin.Open|new Function|vm.runInContext|vm.runInNewContext|vm.runInThisContext|execScript",
-    918: "HTTPClient.send|RestTemplate.getForObject|RestTemplate.postForObject|WebClient.get|URLConnection.openConnection|HttpURLConnection|requests.get|requests.post|requests.request|urllib.request.urlopen|httpx.get|httpx.post|aiohttp.ClientSession|http.Get|http.Post|http.Client|http.NewRequest|axios.get|axios.post|http.request|https.request|node-fetch|fetch",
-    327: "MessageDigest.getInstance|Cipher.getInstance|md5|sha1|des|rc4|hashlib.md5|hashlib.sha1|Crypto.Cipher.DES|Crypto.Cipher.ARC4|crypto/md5|crypto/sha1|crypto/des|crypto/rc4|des.NewCipher|createHash|createCipheriv",
-    502: "ObjectInputStream.readObject|ObjectInputStream.deserialize|XMLDecoder|XStream.fromXML|Deserializer.deserialize|Unmarshaller.unmarshal|XmlUnmarshaller.unmarshal|pickle.load|pickle.loads|yaml.load|marshal.loads|shelve.open|gob.Decode|gob.NewDecoder|node-serialize.unserialize|js-yaml.load",
-}
-SAFE = {
-    89: "PreparedStatement|prepareStatement|bindParams|sqlalchemy.bindparams|paramQuery|parameterizedQuery|boundParam|knex.where|sequelize.findOne",
-    78: "shellEscape|shlex.quote|shlex.split|execFile|commandAllowlist|argSanitize",
-    22: "pathClean|canonicalizePath|pathValidate|baseNameOnly|normalize|toAbsolutePath|startsWith|filepath.Clean|os.path.abspath|secure_filename|sanitizeFilename",
-    79: "htmlEscape|outputEncode|contextEncode|autoEscape|html.EscapeString|template.HTMLEscapeString|bleach.clean|DOMPurify.sanitize|textContent",
-    918: "urlAllowlist|domainCheck|urlValidate|hostnameVerify|isPrivateIP|ssrfReqFilter",
-    327: "crypto.SHA256|crypto.SHA512|cipher.AESGCM|crypto.AES|sha256|sha512|aesGcm|hashlib.sha256|bcrypt|argon2|scrypt",
-    502: "typeFilter|objectFilter|deserializeSecure|validateDeserialize|yaml.safe_load|yaml.SafeLoader|js-yaml.safeLoad",
-}
+from .fixed import ANCHORS, APPLICABLE, SAFE
+
 NO_SINK = (862,)
 
 
 def rulebook(spark: SparkSession) -> DataFrame:
     """kind, ord, cwe, anchors, safe, no_sink: a row for each kind and CWE, from the lists above."""
-    rows = [(kind, k, cwe, ANCHORS.get(cwe, "").split("|") if cwe in ANCHORS else [], SAFE.get(cwe, "").split("|") if cwe in SAFE else [], cwe in NO_SINK) for kind, cwes in APPLICABLE.items() for k, cwe in enumerate(cwes)]
+    rows = [(kind, k, cwe, list(ANCHORS.get(cwe, ())), list(SAFE.get(cwe, ())), cwe in NO_SINK) for kind, cwes in APPLICABLE.items() for k, cwe in enumerate(cwes)]
     return spark.createDataFrame(rows, "kind string, ord int, cwe int, anchors array<string>, safe array<string>, no_sink boolean")
 
 

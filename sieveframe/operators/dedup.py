@@ -6,12 +6,15 @@ pinned BOOLEAN, exploitable BOOLEAN, cvss DOUBLE, cve STRING and whatever else t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import expressions as X
 
+MAX_CHAIN = 100
 DEFAULTS = {"finding_id": None, "severity": "", "pinned": False, "exploitable": False, "cvss": 0.0, "cve": "", "suppress_reason": "", "matched_code": ""}
 
 
@@ -85,9 +88,16 @@ def first_rule(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """The first suppression rule (rule_idx) whose selectors all match, as rule_reason; null without one.
 
     rules(rule_idx, id, path, cwe, reason): an empty selector matches everything; paths are globs tried on the whole path
-    and the base name; cwe ignores case. The rules are a hand-written list: they are broadcast below 10,000 rows and shuffled by
-    nested loop otherwise, by the planner's own choice.
+    and the base name; cwe ignores case. The rules are a hand-written list: up to MAX_CHAIN of them become one chain of conditions, whose
+    patterns are compiled once; more are joined.
     """
+    own = rules.select("rule_idx", "id", "path", "cwe", "reason").orderBy("rule_idx").limit(MAX_CHAIN + 1).collect()
+    if len(own) <= MAX_CHAIN:
+        path, chain = F.col("path"), []
+        for r in own:
+            selectors = [F.col("finding_id") == r.id] * bool(r.id) + [F.upper("cwe") == r.cwe.upper()] * bool(r.cwe) + [X.glob_match(path, (r.path,))] * bool(r.path)
+            chain.append((reduce(lambda a, b: a & b, selectors, F.lit(True)), F.lit(r.reason)))
+        return findings.withColumn("rule_reason", X.choose(chain, F.lit(None).cast("string")))
     glob = F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace("rp", r"([.^$+()\[\]{}|\\])", r"\\$1"), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), F.lit("$"))
     r = rules.select("rule_idx", F.col("id").alias("rid"), F.col("path").alias("rp"), F.upper("cwe").alias("rc"), "reason").withColumn("rx", glob)
     hit = ((F.col("rid") == "") | (F.col("rid") == F.col("finding_id"))) & ((F.col("rc") == "") | (F.col("rc") == F.upper("cwe"))) & ((F.col("rp") == "") | F.expr("path rlike rx") | F.expr("substring_index(path, '/', -1) rlike rx"))

@@ -5,26 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names in the order in which they are tried, with their kinds.
-SOURCES = {
-    "java": "getParameter:http_param getParameterValues:http_param getQueryString:http_param getHeader:http_header getHeaders:http_header getCookies:http_param getReader:http_body getInputStream:http_body getParts:http_body getParameterMap:http_param getAttribute:http_param getPathVariable:http_param getRequestBody:http_body readLine:stdin nextLine:stdin getPathInfo:http_param getServletPath:http_param Part.getInputStream:http_body Part.getSubmittedFileName:http_param System.getenv:env_var System.getProperty:env_var System.getProperties:env_var",
-    "python": "request.args:http_param request.form:http_body request.json:http_body request.data:http_body request.headers:http_header request.cookies:http_param request.files:http_body request.query_string:http_param request.values:http_param request.get_json:http_body request.get_data:http_body request.form.get:http_body request.args.get:http_param request.headers.get:http_header Query:http_param Body:http_body Header:http_header Cookie:http_param Path:http_param File:http_body request.GET:http_param request.POST:http_body request.body:http_body request.META:http_header request.FILES:http_body os.environ:env_var os.getenv:env_var environ.get:env_var sys.stdin:stdin sys.argv:http_param input:stdin",
-    "js": "req.query:http_param req.body:http_body req.params:http_param req.headers:http_header req.cookies:http_param req.signedCookies:http_param req.get:http_header req.param:http_param ctx.query:http_param ctx.request.body:http_body ctx.params:http_param ctx.headers:http_header ctx.cookies:http_param process.env:env_var process.argv:http_param Deno.env:env_var Bun.env:env_var",
-    "go": "r.URL.Query:http_param r.URL.Query().Get:http_param r.FormValue:http_param r.PostFormValue:http_body r.Form:http_param r.PostForm:http_body r.MultipartForm:http_body r.Header:http_header r.Header.Get:http_header r.Header.Values:http_header r.Cookie:http_param r.Referer:http_header r.UserAgent:http_header r.RemoteAddr:http_header r.RequestURI:http_param os.Getenv:env_var os.Environ:env_var os.LookupEnv:env_var ctx.Value:http_param",
-}
-SINKS = {
-    "java": "executeQuery:sql executeUpdate:sql execute:sql createNativeQuery:sql createQuery:sql createSQLQuery:sql nativeQuery:sql queryForObject:sql queryForList:sql exec:command Runtime.exec:command ProcessBuilder.start:command ProcessBuilder.command:command readObject:deserialization ObjectInputStream:deserialization XStream.fromXML:deserialization Yaml.load:deserialization JSON.parseObject:deserialization readValue:deserialization XMLDecoder.readObject:deserialization SerializationUtils.deserialize:deserialization Hessian2Input.readObject:deserialization sendRedirect:redirect forward:redirect eval:eval ScriptEngine.eval:eval response.getWriter:template out.print:template out.println:template out.write:template ModelAndView:template Velocity.evaluate:template FileWriter:file_write FileOutputStream:file_write",
-    "python": "execute:sql executemany:sql rawsql:sql os.system:command subprocess.Popen:command subprocess.run:command subprocess.call:command subprocess.check_output:command os.popen:command os.popen2:command os.popen3:command os.popen4:command pickle.load:deserialization pickle.loads:deserialization yaml.load:deserialization marshal.load:deserialization shelve.open:deserialization eval:eval exec:eval compile:eval render:template render_template:template render_template_string:template Template:template open:file_write shutil.copy:file_write shutil.move:file_write",
-    "js": "query:sql execute:sql find:sql findOne:sql findAll:sql findOneAndUpdate:sql exec:command execSync:command spawn:command spawnSync:command fork:command execFile:command execFileSync:command unserialize:deserialization deserialize:deserialization writeFile:file_write writeFileSync:file_write appendFile:file_write render:template renderFile:template renderString:template eval:eval Function:eval redirect:redirect res.redirect:redirect ctx.redirect:redirect",
-    "go": "Query:sql QueryRow:sql Exec:sql Prepare:sql Raw:sql exec.Command:command exec.CommandContext:command os.StartProcess:command json.Unmarshal:deserialization gob.Decode:deserialization xml.Unmarshal:deserialization yaml.Unmarshal:deserialization os.WriteFile:file_write os.Create:file_write ioutil.WriteFile:file_write http.Redirect:redirect",
-}
-CONSTRUCTOR_SINKS = {"java": "FileWriter:file_write FileOutputStream:file_write FileInputStream:file_write FileReader:file_write ZipOutputStream:file_write ObjectInputStream:deserialization XMLDecoder:deserialization ProcessBuilder:command"}
-SANITIZERS = {
-    "java": "Encode.forHtml Encode.forJavaScript Encode.forSql ESAPI.encoder StringEscapeUtils.escapeHtml StringEscapeUtils.escapeSql HtmlUtils.htmlEscape URLEncoder.encode URLDecoder.decode Validator.validate validate isValid sanitize PreparedStatement setString setInt setParameter",
-    "python": "escape html.escape markupsafe.escape cgi.escape validate is_valid clean sanitize sanitize_filename shlex.quote pipes.quote bleach.clean bleach.linkify defusedxml defusedxml.ElementTree",
-    "js": "escape escapeHtml xss sanitize sanitizeHtml validator.escape validator.trim DOMPurify shellQuote shell-quote validate isValid",
-    "go": "html.EscapeString html.UnescapeString template.HTMLEscapeString template.JSEscapeString template.URLQueryEscaper url.QueryEscape url.PathEscape validate isValid sanitize",
-}
+from .fixed import CONSTRUCTOR_SINKS, SANITIZERS, SINKS, SOURCES
+
 #: Template sinks of these languages are cross-site scripting rather than template injection.
 _CWE = {"sql": "CWE-89", "command": "CWE-78", "deserialization": "CWE-502", "file_write": "CWE-22", "redirect": "CWE-601", "eval": "CWE-94"}
 
@@ -33,12 +15,11 @@ def cwe_of(language: str, kind: str) -> str:
     return _CWE.get(kind) or ("CWE-79" if language == "java" else "CWE-1336")
 
 
-def rules(spark: SparkSession, table: dict[str, str] = SINKS, bare: bool = True) -> DataFrame:
+def rules(spark: SparkSession, table: dict[str, tuple] = SINKS, bare: bool = True) -> DataFrame:
     """rule_idx, language, name, needle (after the last dot for sinks), kind, cwe."""
     rows = []
-    for language, line in table.items():
-        for k, item in enumerate(line.split()):
-            name, _, kind = item.partition(":")
+    for language, items in table.items():
+        for k, (name, kind) in enumerate(items):
             rows.append((k, language, name, name.rpartition(".")[2] if bare else name, kind, cwe_of(language, kind) if bare else ""))
     return spark.createDataFrame(rows, "rule_idx int, language string, name string, needle string, kind string, cwe string")
 
@@ -81,7 +62,7 @@ def sanitizes(calls: DataFrame) -> DataFrame:
     """call_id, sanitizes: whether any sanitizer of the language is part of the name."""
     from ..functions.expressions import any_of
 
-    conds = [(F.col("language") == lang) & any_of([F.col("call_name").contains(n) for n in line.split()]) for lang, line in SANITIZERS.items()]
+    conds = [(F.col("language") == lang) & any_of([F.col("call_name").contains(n) for n in names]) for lang, names in SANITIZERS.items()]
     return calls.select("call_id", any_of(conds).alias("sanitizes"))
 
 

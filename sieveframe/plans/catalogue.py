@@ -284,16 +284,15 @@ CALLS = """select event_id as call_id, case user_id % 4 when 0 then 'java' when
   case event_id % 10 when 0 then 'stmt.executeQuery' when 1 then 'Runtime.exec' when 2 then 'request.args.get' when 3 then 'getParameter' when 4 then 'subprocess.run' when 5 then 'res.redirect' when 6 then 'db.QueryRow' when 7 then 'yaml.load' when 8 then 'innerHelper' else 'req.query' end as call_name from events"""
 
 
-def _rule_values(table: dict[str, str], bare: bool) -> str:
+def _rule_values(table: dict[str, tuple], bare: bool) -> str:
     out = []
-    for lang, line in table.items():
-        for k, item in enumerate(line.split()):
-            name, _, kind = item.partition(":")
+    for lang, items in table.items():
+        for k, (name, kind) in enumerate(items):
             out.append(f"({k}, '{lang}', '{name}', '{name.rpartition('.')[2] if bare else name}', '{kind}')")
     return ", ".join(out)
 
 
-def _classified(table: dict[str, str], bare: bool) -> str:
+def _classified(table: dict[str, tuple], bare: bool) -> str:
     return f"""with calls as ({CALLS}), rules(rule_idx, rl, name, needle, kind) as (values {_rule_values(table, bare)}),
 hit as (select *, row_number() over (partition by call_id order by rule_idx) as n from calls join rules on language = rl and contains(call_name, needle))
 select call_id, language, call_name, rule_idx, name, kind from hit where n = 1"""
