@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WS = " \t\n\x0b\f\r"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where none is set (tests) take a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder, so a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut(df)
 
 
 #: A table of so many light rows at most (counted before) may be broadcast.

@@ -309,6 +309,28 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == len(out)
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, one id with several texts, no rows at all."""
+    x, y = (" ".join(words(800 + k, 90)) for k in range(2))
+    rows = [(5, y), (5, x), (2, x.replace(x.split()[40], "other", 1)), (None, x), (None, None), (7, None), (8, ""), (9, " \n"), (11, y.replace(y.split()[3], "q", 1)), (12, "word " * 400), (12, "word " * 400)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, __id string"
+    base = spark.createDataFrame([(i, t, None, "s", 0, "k", "z") for i, t in rows], schema)
+    base.write.parquet(str(tmp_path / "a/documents.parquet"))
+    base.where("false").write.parquet(str(tmp_path / "b/documents.parquet"))
+    for folder in "ab":
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / f"{folder}/labels.parquet"))
+    out = corpus_pipeline.drop_near_copies(spark, base, str(tmp_path / "a"))
+    assert out.columns == base.columns
+    kept = Counter((r.doc_id, r.text) for r in out.collect())
+    assert kept == Counter((i, t) for i, t in rows if (i, t) not in ((5, x), (11, rows[8][1])))  # a namesake that is no copy stays
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.dedup_lines, corpus_pipeline.mix_sources):
+        assert stage(spark, base, str(tmp_path / "a")).columns == base.columns
+    assert corpus_pipeline.drop_toxic(spark, base, str(tmp_path / "a")).count() == len(rows)
+    assert corpus_pipeline.dedup_lines(spark, base, str(tmp_path / "a")).count() == len(rows)
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "a")).count() >= 4
+
+
 def test_toxicity_flag_agrees_with_scores(spark):
     rows = [(k, " ".join(words(k, 40) + (["vileword"] if k % 4 == 0 else [])), "en", "s", 0) for k in range(160)]
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(160)], "doc_id bigint, quality int, toxic int")
