@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveframe.functions.lineage import ensure_checkpoint_dir
 from sieveframe.llm import linededup, mixing, ngram_join, sentencepiece, toxicity
-from sieveframe.llm.common import ensure_checkpoint_dir, read, texts
+from sieveframe.llm.common import read, texts
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,14 +66,27 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("ngram_jaccard
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir; what lies between stages goes to the shared checkpoint folder."""
+    """The last stage's rows for the documents of sf_dir; what lies between stages goes to the shared checkpoint folder.
+
+    A stage's rows are removed once the next stage has written its own; those that the returned plan reads stay.
+    """
     ensure_checkpoint_dir(spark)
     docs = read(spark, sf_dir, "documents")
+    root, before = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+            path = f"{root}/{k}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                _remove(spark, before)
+            before = path
     return docs
