@@ -126,14 +126,15 @@ def mix(docs: DataFrame, seed: int = 1, **options) -> DataFrame:
     A text taken whole is repeated as it is; the words of its chosen blocks make one more row, in their order. Rows that are equal in
     every column have each their share in the plan; they meet its rows as one text, which is then taken for all of them.
     """
-    rows = docs.withColumn("__th", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    fates = plan(rows, seed=seed, keep=("__th",), **options)
-    fates = fates.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("__th").alias("__t"), F.col("full").alias("__full"), F.col("pieces").alias("__pieces"))
-    both = rows.dropDuplicates(["doc_id", "__th"]).join(fates, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__t")))
-    words = F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*)"), 1)
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    rows = whole.select("row", "row.doc_id", "row.text", "row.source", F.xxhash64("row").alias("key"))
+    fates = plan(rows, seed=seed, keep=("key",), **options).where("taken > 0").select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), "full", "pieces")
+    # the text travels once, within the row
+    both = rows.select("row", "doc_id", "key").dropDuplicates(["doc_id", "key"]).join(fates, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")))
+    words = F.regexp_extract_all("row.text", F.lit("([^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*)"), 1)
     # the outer transform holds the words, so that they are split once and not for every piece
-    joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["words"].cast("int")))), ""))
+    joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(w, (p["start"] + 1).cast("int"), p["words"].cast("int")))), ""))
     part = F.btrim(F.get(joined, F.lit(0)), F.lit(WS))
-    taken = F.concat(F.array_repeat("text", F.col("__full").cast("int")), F.when(F.col("__pieces").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
-    out = both.withColumn("__one", F.explode(taken))
-    return out.select(*[F.col("__one").alias("text") if c == "text" else F.char_length("__one").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    taken = F.concat(F.array_repeat("row.text", F.col("full").cast("int")), F.when(F.col("pieces").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
+    own = {"text": F.col("one"), "n_chars": F.char_length("one").cast("long")}
+    return both.select("row", F.explode(taken).alias("one")).select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -271,18 +271,14 @@ def apply(model: Model, docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "heavy")
 
 
-def flag(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with all their columns and ``__predicted``, scored where the rows are: no join brings texts and scores together."""
-    from pyspark.sql.types import IntegerType, StructField, StructType
-
+def without_toxic(model: Model, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted to be toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("__predicted", IntegerType())])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [int(m.score(t)[0] >= 0.5) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int32())], names=schema.names)
+            yield batch.filter(pa.array([m.score(t)[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

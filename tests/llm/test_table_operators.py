@@ -313,8 +313,8 @@ def test_pipeline_odd_rows(spark, tmp_path):
     """Null ids and texts, repeated rows, one id with several texts, no rows at all."""
     x, y = (" ".join(words(800 + k, 90)) for k in range(2))
     rows = [(5, y), (5, x), (2, x.replace(x.split()[40], "other", 1)), (None, x), (None, None), (7, None), (8, ""), (9, " \n"), (11, y.replace(y.split()[3], "q", 1)), (12, "word " * 400), (12, "word " * 400)]
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, __id string"
-    base = spark.createDataFrame([(i, t, None, "s", 0, "k", "z") for i, t in rows], schema)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, __id string, text_hash bigint, gone_id bigint, row string, __th bigint, __predicted int"
+    base = spark.createDataFrame([(i, t, None, "s", 0, "k", "z", 1, 2, "w", 3, 4) for i, t in rows], schema)
     base.write.parquet(str(tmp_path / "a/documents.parquet"))
     base.where("false").write.parquet(str(tmp_path / "b/documents.parquet"))
     for folder in "ab":
@@ -331,12 +331,12 @@ def test_pipeline_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "a")).count() >= 4
 
 
-def test_toxicity_flag_agrees_with_scores(spark):
+def test_toxicity_filter_agrees_with_scores(spark):
     rows = [(k, " ".join(words(k, 40) + (["vileword"] if k % 4 == 0 else [])), "en", "s", 0) for k in range(160)]
     labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(160)], "doc_id bigint, quality int, toxic int")
     df = docs(spark, rows)
     model = toxicity.train(df.select("doc_id", "text"), labels)
-    assert {(r.doc_id, r.predicted) for r in toxicity.apply(model, df).collect()} == {(r.doc_id, r["__predicted"]) for r in toxicity.flag(model, df).collect()}
+    assert {r.doc_id for r in toxicity.apply(model, df).where("predicted = 0").collect()} == {r.doc_id for r in toxicity.without_toxic(model, df).collect()}
 
 
 def test_mixing_small_sources(spark):
