@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together. Without labels nothing goes.
     """
     model = toxicity.train(texts(docs), read(spark, sf_dir, "labels"))
-    return toxicity.flag(model, docs).where("__predicted = 0").drop("__predicted")
+    return toxicity.without_toxic(model, docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words and rows with a null doc_id are no copies of anything and stay. Rows with one doc_id and different texts are
     different documents: they go or stay each for itself.
     """
-    gone = ngram_join.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__th")).distinct()
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__th")), "left_anti")
+    gone = ngram_join.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"), "text_hash").distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["text_hash"]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
