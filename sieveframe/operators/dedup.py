@@ -6,8 +6,12 @@ pinned BOOLEAN, exploitable BOOLEAN, cvss DOUBLE, cve STRING and whatever else t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ from ..config import Config
 from ..functions import expressions as X
 
 MAX_CHAIN = 100
+TILE, STRIP = 2048, 256  # vectors of a tile, and rows of it that meet another tile at once
 DEFAULTS = {"finding_id": None, "severity": "", "pinned": False, "exploitable": False, "cvss": 0.0, "cve": "", "suppress_reason": "", "matched_code": ""}
 
 
@@ -132,9 +137,74 @@ def statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.agg(F.count("*").alias("n_in")).crossJoin(after.agg(F.count("*").alias("n_out"), F.coalesce(F.sum(F.col("n_merged") - 1), F.lit(0)).cast("long").alias("n_merged"), F.count_if(F.col("severity") == "SUPPRESSED").alias("n_suppressed")))
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed component by component as X.cosine sums."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _pairs_between(a: np.ndarray, b: np.ndarray, near: float, upper: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of a, row of b, cosine) of pairs of equally long vectors that reach ``near``, in strips; upper: b is a, each pair once.
+
+    A matrix product finds what may reach it; these are counted again exactly. What isn't a number reaches everything, as in SQL.
+    """
+    own, other = _dots(a, a), _dots(b, b)
+    for at in range(0, len(a), STRIP):
+        norm = own[at : at + STRIP, None] * other[None, :]
+        maybe = ~(a[at : at + STRIP] @ b.T < (near - 1e-9) * np.sqrt(norm)) | ~((norm > 1e-200) & (norm < np.inf))
+        i, j = np.nonzero(np.triu(maybe, at + 1) if upper else maybe)
+        norm = norm[i, j]
+        cosine = np.divide(_dots(a[i + at], b[j]), np.sqrt(norm), out=np.zeros(len(i)), where=norm != 0)
+        kept = ~(cosine < near)
+        yield i[kept] + at, j[kept], cosine[kept]
+
+
+def _unit_pairs(unit: pa.Table, near: float) -> pa.Table:
+    """id_a, id_b, cosine of two tiles, or within one."""
+    ids, vectors, tile = unit["id"].combine_chunks(), unit["v"].combine_chunks(), unit["tile"].to_numpy()
+    length = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    whole = np.ones(len(length), dtype=bool)  # without null components
+    whole[pc.list_parent_indices(vectors).to_numpy(zero_copy_only=False)[pc.list_flatten(vectors).is_null().to_numpy(zero_copy_only=False)]] = False
+    low, high = tile.min(), tile.max()
+    rows = {(t, n): np.flatnonzero((tile == t) & (length == n)) for t in {low, high} for n in np.unique(length)}
+    matrix = lambda r, n: pc.list_flatten(vectors.take(pa.array(r))).to_numpy(zero_copy_only=False).reshape(len(r), n)
+    found = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)]
+    with np.errstate(all="ignore"):
+        for n in np.unique(length):
+            a, b = (r[whole[r]] for r in (rows[low, n], rows[high, n]))
+            if n and len(a) and len(b):
+                found += [(a[i], b[j], c) for i, j, c in _pairs_between(matrix(a, n), matrix(b, n), near, low == high)]
+            if near <= 0:  # empty vectors and those of another length have cosine 0
+                a = rows[low, n]
+                for m in np.unique(length):
+                    b = rows[high, m]
+                    if m != n or not n:
+                        i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+                        once = i < j if low == high else np.ones(len(i), dtype=bool)
+                        found.append((i[once], j[once], np.zeros(int(once.sum()))))
+    i, j, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+    names = ids.to_numpy(zero_copy_only=False)
+    a, b = names[i], names[j]
+    apart = a != b
+    a, b, cosine = a[apart], b[apart], cosine[apart]
+    return pa.table({"id_a": pa.array(np.where(a < b, a, b), type=ids.type), "id_b": pa.array(np.where(a < b, b, a), type=ids.type), "cosine": cosine})
+
+
 def similar_pairs(vectors: DataFrame, block: str, same: float, near: float) -> DataFrame:
-    """D11, off by default: pairs within a block whose cosine reaches ``near``; kind says whether it reaches ``same``."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    sim = X.cosine(F.col("a.v"), F.col("b.v"))
-    pairs = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), sim.alias("cosine"))
-    return pairs.where(F.col("cosine") >= near).withColumn("kind", F.when(F.col("cosine") >= same, F.lit("same")).otherwise(F.lit("near")))
+    """D11, off by default: pairs within a block whose cosine reaches ``near``; kind says whether it reaches ``same``.
+
+    All pairs are compared, as is the job. A block is dealt into tiles of about TILE vectors, and each pair of tiles is a unit of its own: any
+    block spreads over the cluster, and a task holds two tiles and what they find.
+    """
+    v = vectors.select("id", F.col(block).alias("block"), F.col("v").cast("array<double>").alias("v")).dropna()
+    sizes = v.groupBy("block").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    dealt = v.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    units = dealt.select("block", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "id", "v").groupBy("block", "low", "high")
+
+    def pairs(unit: pa.Table) -> pa.Table:
+        return _unit_pairs(unit, near)
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return units.applyInArrow(pairs, f"id_a {kind}, id_b {kind}, cosine double").withColumn("kind", F.when(F.col("cosine") >= same, F.lit("same")).otherwise(F.lit("near")))
