@@ -148,43 +148,39 @@ class CodeGraph:
             last = rows[-1]["node_id"]
 
 
+def nearest_marks(callers: DataFrame, marks: DataFrame, hops: int) -> DataFrame:
+    """(id, depth, low, high) of every node with a mark(id) at most ``hops`` up the callers(node_id, caller_id): the distance of the nearest ones, and the
+    least and the greatest of these.
+
+    One search for all nodes, from the marks down: the nearest marks of a node are those of its callers that are nearest themselves. Each node
+    joins the frontier once, so that no pair of a node and what it meets is kept.
+    """
+    up = cut(callers.select("node_id", "caller_id"))
+    seen = front = cut(marks.select("id").dropna().distinct().select("id", F.lit(0).alias("depth"), F.col("id").alias("low"), F.col("id").alias("high")))
+    for at in range(1, hops + 1):
+        got = up.join(front.select(F.col("id").alias("caller_id"), "low", "high"), "caller_id").groupBy(F.col("node_id").alias("id")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        front = cut(got.join(seen.select("id"), "id", "left_anti").select("id", F.lit(at).alias("depth"), "low", "high"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def nearest_surface(sources: DataFrame, callers: DataFrame, surfaces: DataFrame, levels: int = 6, give_up: int = 2) -> DataFrame:
     """(source_id, surface_id) for sources with exactly one surface at the least distance up the callers.
 
     sources(source_id), callers(node_id, caller_id), surfaces(surface_id). Depth 0 is the source's own node. A source's search ends where
     it has met a surface; the whole search for a source stops after ``give_up`` + 1 caller levels without any.
     """
-    callers = cut(callers.select("node_id", "caller_id").distinct())
-    front = cut(sources.select("source_id", F.col("source_id").alias("id")).distinct())
-    marks = surfaces.select(F.col("surface_id").alias("id")).distinct()
-    seen = front
-    found = cut(front.join(marks, "id").select("source_id", F.col("id").alias("surface_id")))
-    front = front.join(found.select("source_id").distinct(), "source_id", "left_anti")
-    for level in range(1, levels + 1):
-        if level - 1 > give_up:
-            break
-        up = front.join(callers, front.id == callers.node_id).select("source_id", F.col("caller_id").alias("id")).distinct()
-        front = cut(up.join(seen, ["source_id", "id"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-        hit = cut(front.join(marks, "id").select("source_id", F.col("id").alias("surface_id")))
-        found = found.unionByName(hit)
-        front = front.join(hit.select("source_id").distinct(), "source_id", "left_anti")
-    return found.groupBy("source_id").agg(F.count("*").alias("n"), F.min("surface_id").alias("surface_id")).where("n = 1").select("source_id", "surface_id")
+    near = nearest_marks(callers, surfaces.select(F.col("surface_id").alias("id")), min(levels, give_up + 1))
+    one = near.where("low = high").select(F.col("id").alias("source_id"), F.col("low").alias("surface_id"))
+    return sources.select("source_id").distinct().join(one, "source_id")
 
 
 def first_route(methods: DataFrame, callers: DataFrame, routes: DataFrame, hops: int = 5) -> DataFrame:
     """(node_id, route_node, depth): the nearest node up the callers with a route, least id of equals."""
-    front = methods.select(F.col("node_id").alias("m"), F.col("node_id").alias("id")).distinct()
-    seen, found, callers = cut(front.withColumn("d", F.lit(0))), None, cut(callers.select("node_id", "caller_id").distinct())
-    for level in range(hops + 1):
-        now = seen.where(F.col("d") == level)
-        hit = now.join(routes.select(F.col("node_id").alias("id")).distinct(), "id").select("m", "id", "d")
-        found = hit if found is None else found.unionByName(hit)
-        up = now.join(callers, now.id == callers.node_id).select("m", F.col("caller_id").alias("id")).distinct().join(seen.select("m", "id"), ["m", "id"], "left_anti").withColumn("d", F.lit(level + 1))
-        seen = seen.unionByName(cut(up))
-    return found.groupBy(F.col("m").alias("node_id")).agg(F.min_by("id", F.struct("d", "id")).alias("route_node"), F.min("d").alias("depth"))
+    near = nearest_marks(callers, routes.select(F.col("node_id").alias("id")), hops)
+    return methods.select("node_id").distinct().join(near.select(F.col("id").alias("node_id"), F.col("low").alias("route_node"), "depth"), "node_id")
 
 
 def taint_paths(flows: DataFrame, sources: DataFrame, sinks: DataFrame, limit: int = 1000, hops: int = 12) -> DataFrame:

@@ -65,6 +65,18 @@ def test_nearest_surface(spark):
     assert nearest(spark, [("s", "a")], ["s", "a"], ["s"]) == {("s", "s")}
 
 
+def test_nearest_marks_hold_no_pairs(spark):
+    """Every node of a dense layer meets every one above it: what is kept is one row a node."""
+    layers = [(f"a{k}", f"b{j}") for k in range(30) for j in range(30)] + [(f"b{k}", f"c{j}") for k in range(30) for j in range(30)]
+    callers = spark.createDataFrame(layers + [("c0", "a0")], "node_id string, caller_id string")
+    marks = spark.createDataFrame([("c7",), ("c3",), ("b5",)], "id string")
+    got = {r.id: (r.depth, r.low, r.high) for r in graph.nearest_marks(callers, marks, 3).collect()}
+    want = {f"a{k}": (1, "b5", "b5") for k in range(30)} | {f"b{k}": (1, "c3", "c7") for k in range(30)} | {"b5": (0, "b5", "b5"), "c3": (0, "c3", "c3"), "c7": (0, "c7", "c7"), "c0": (2, "b5", "b5")}
+    assert got == want
+    routes = graph.first_route(spark.createDataFrame([("b1",), ("a1",), ("c9",)], "node_id string"), callers, marks.withColumnRenamed("id", "node_id"), hops=1)
+    assert {tuple(r) for r in routes.collect()} == {("b1", "c3", 1), ("a1", "b5", 1)}
+
+
 def test_expand_and_routes(spark):
     g = build(spark, [("m2", "m1")])
     assert {r.file for r in g.expand(spark.createDataFrame([("server.go",)], "file string")).collect()} == {"server.go", "util.go"}
