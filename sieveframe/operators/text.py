@@ -41,17 +41,12 @@ def brace_end(methods: DataFrame, files: DataFrame) -> DataFrame:
     return j.groupBy("id").agg(F.min(F.when(F.col("opened") & (F.col("depth") <= 0), F.col("pos") + 1)).alias("end_line"))
 
 
-def _head(s: str, n: int) -> str:
-    return s.encode()[: max(0, n)].decode("utf-8", "ignore")
-
-
-def _truncated(s: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else _head(v, int(k)) for v, k in zip(s, n, strict=True)])
-
-
 def truncate_utf8(s: Column, n: Column) -> Column:
-    """At most n bytes, never half a character."""
-    return F.pandas_udf(_truncated, "string")(s, n)
+    """At most n bytes, never half a character: cut before the last byte that begins a character, if the next one doesn't."""
+    raw, most = F.encode(s, "utf-8"), F.greatest(n, F.lit(0))
+    inside = lambda k: F.hex(F.substring(raw, most - k + 1, F.lit(1))).between("80", "BF")
+    cut = F.when(~inside(0), most).when(~inside(1), most - 1).when(~inside(2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.substring(raw, F.lit(1), cut).cast("string"))
 
 
 def strip_code(code: str) -> str:
@@ -138,7 +133,33 @@ def _by_text(f: Callable[[str], str | None]) -> Callable[[Column], Column]:
     return column
 
 
-strip_code_col, blank_strings_col, obfuscate_col = _by_text(strip_code), _by_text(blank_strings), _by_text(obfuscate)
+strip_code_col = _by_text(strip_code)
+
+
+def blank_strings_col(c: Column) -> Column:
+    """`blank_strings` as an expression. The repetition is possessive, so that long literals take no stack; nothing after it could ask it to give back."""
+    return F.regexp_replace(c, r"""(?s)(["'])(?:[^"'\\]++|\\.?|(?!\1)["'])*+(\1?)""", "$1$2")
+
+
+# what str.strip() takes for white space
+_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_S = "[" + _SPACE.replace("\n", "") + "]*+"
+_TO_LAST = r"(?![^\n])"
+# a comment that is opened on a line and not closed there, up to the line that closes it
+_COMMENT = r"(?<![^\n])(?=[^\n]*?/\*)(?![^\n]*?\*/)[^\n]*+(?:\n(?![^\n]*?\*/)[^\n]*+)*+(?:\n[^\n]*+)?"
+# an import block, up to its closing parenthesis, another import or a comment, which is a bare /* by then
+_IMPORTS = rf"(?<![^\n]){_S}import \({_S}{_TO_LAST}(?:\n(?!{_S}\){_S}{_TO_LAST})(?!{_S}import {_S}[^\n])(?!/\*{_TO_LAST})[^\n]*+)*+(?:\n{_S}\){_S}{_TO_LAST})?"
+
+
+def obfuscate_col(c: Column) -> Column:
+    """`obfuscate` as an expression: block comments become a line of their own, then import blocks go, then lines by themselves."""
+    bare = F.regexp_replace(F.regexp_replace(c, _COMMENT, "/*"), _IMPORTS, "")
+
+    def stays(line: Column) -> Column:
+        s = F.btrim(line, F.lit(_SPACE))
+        return (s != "") & (line != "/*") & ~X.any_of([s.startswith(w) for w in ("package ", "import ", "//", "#", "-- ")])
+
+    return F.btrim(F.array_join(F.transform(F.filter(F.split(bare, "\n"), stays), blank_strings_col), "\n"), F.lit(_SPACE))
 
 
 def _windows(s: pd.Series, line: pd.Series, budget: pd.Series) -> pd.Series:

@@ -167,3 +167,12 @@ def test_stream_upserts(spark, tmp_path):
     spark.createDataFrame([("p", "a", "2", 2)], schema).write.mode("append").json(str(tmp_path / "in"))
     incremental.upsert_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path), "scan_state", str(tmp_path / "c"), "last_scanned_at").awaitTermination(120)
     assert {(r.file_path, r.content_hash) for r in store.current(spark, str(tmp_path), "scan_state").collect()} == {("a", "2"), ("b", "1")}
+
+
+def test_text_functions_run_without_python(spark):
+    texts = ["package a;\nimport (\n \"x\"\n/* in\n*/\n y 'a' \n)\nimport \nz = \"it's\\\"\" 'open", "'" + "\\\"b" * 50_000, None, "　import (　\nimport x\nkept ", "a/* b */\n/* c\nd", "é日😀" * 3]
+    df = spark.createDataFrame([(t, k + 4) for k, t in enumerate(texts)], "t string, n int")
+    got = df.select(text.obfuscate_col(F.col("t")).alias("o"), text.blank_strings_col(F.col("t")).alias("b"), text.truncate_utf8(F.col("t"), F.col("n")).alias("h"))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(None,) * 3 if t is None else (text.obfuscate(t), text.blank_strings(t), t.encode()[: k + 4].decode("utf-8", "ignore")) for k, t in enumerate(texts)]
+    assert [tuple(r) for r in got.collect()] == want
