@@ -94,9 +94,13 @@ def select_surfaces(methods: DataFrame, calls: DataFrame, file_bits: DataFrame,
 
 
 def second_order(methods: DataFrame, calls: DataFrame, file_bits: DataFrame, found: Reach | None = None) -> DataFrame:
-    """Nodes that can reach both a storage file and a sink file, kind external_input, depth 0."""
-    r = found or reach(methods, calls, file_bits)
-    both = r.masks.where(F.col("mask").bitwiseAND(F.lit(STORAGE | SINK)) == STORAGE | SINK).select("id")
+    """Nodes that can reach both a storage file and a sink file, kind external_input, depth 0. By itself it searches backward from these only."""
+    if found is None:
+        near = methods.join(file_bits.select(F.col("path").alias("file"), "bits"), "file").select(F.col("node_id").alias("id"), F.col("bits").bitwiseAND(F.lit(SINK | STORAGE)).alias("mask"))
+        masks = graph.masks(graph.reversed_edges(cut(calls.select("from_id", "to_id").distinct())), near.where("mask != 0"))
+    else:
+        masks = found.masks
+    both = masks.where(F.col("mask").bitwiseAND(F.lit(STORAGE | SINK)) == STORAGE | SINK).select("id")
     return both.join(methods.withColumnRenamed("node_id", "id"), "id", "left").select(F.col("id").alias("surface_id"), X.text(F.col("name")).alias("name"), X.text(F.col("file")).alias("file"), F.lit("external_input").alias("kind"), F.lit(0).alias("depth"))
 
 

@@ -110,6 +110,15 @@ def test_surfaces(spark):
     assert {r.surface_id: r.kind for r in surfaces(spark, [*path, ("svc1", "auth1")])}["svc1"] == "external_input"
 
 
+def test_second_order_searches_backward_only(spark, monkeypatch):
+    monkeypatch.setattr(targeting.graph, "depths", None)  # the search from sources
+    bits = targeting.boundary_bits(spark.createDataFrame(FILES, "path string, text string"))
+    methods = spark.createDataFrame(METHODS, "node_id string, name string, file string, code string")
+    edges = spark.createDataFrame([("ctrl1", "svc1"), ("svc1", "repo1"), ("repo1", "auth1")], "from_id string, to_id string")
+    got = targeting.second_order(methods, edges, bits)
+    assert {(r.surface_id, r["name"]) for r in got.collect()} == {("ctrl1", "getResource"), ("svc1", "fetchRecord"), ("repo1", "findById")}
+
+
 def test_taxonomy(spark):
     calls = spark.createDataFrame([(1, "java", "stmt.executeQuery"), (2, "java", "Runtime.exec"), (3, "python", "os.system"), (4, "go", "nothing"), (5, "java", "ProcessBuilder.start")], "call_id int, language string, call_name string")
     got = {r.call_id: (r.name, r.cwe) for r in taxonomy.classify(calls, taxonomy.rules(spark)).collect()}
