@@ -132,3 +132,15 @@ def test_cve_matching(spark):
     s = spark.createDataFrame([("a", "lib/log4j/Main.java", ""), ("b", "x/y.java", "import Requests now"), ("c", "x/y.java", "")], "surface_id string, file string, code string")
     p = enrich.cve_index(spark.createDataFrame([("C1", "org.apache:log4j-core", 10.0), ("C2", "requests", 7.5)], "cve string, package string, cvss double"))
     assert {tuple(r) for r in enrich.match_packages(s, p).collect()} == {("a", "C1", 10.0), ("b", "C2", 7.5)}
+
+
+def test_cve_sets_with_many_surfaces_are_split(spark, monkeypatch):
+    s = spark.createDataFrame([(f"s{k}", "lib/ring/x.java" if k % 3 else "lib/gear/x.java", "") for k in range(40)], "surface_id string, file string, code string")
+    p = enrich.cve_index(spark.createDataFrame([(f"C{k}", "ring" if k % 2 else "gear", float(k)) for k in range(6)], "cve string, package string, cvss double"))
+    want = {(f"s{k}", f"C{c}", float(c)) for k in range(40) for c in range(6) if bool(k % 3) == bool(c % 2)}
+    monkeypatch.setattr(enrich, "CHUNK", 4)
+    for most in (0, 1000):
+        monkeypatch.setattr(enrich, "MAX_BROADCAST", most)
+        got = [tuple(r) for r in enrich.match_packages(s, p).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert {(r.surface_id, r.cves) for r in enrich.best_of_sets(s, p).collect()} == {(f"s{k}", "C5,C3,C1" if k % 3 else "C4,C2,C0") for k in range(40)}
