@@ -6,7 +6,8 @@
   go with neither label weigh little, and those that no example holds weigh nothing, in a text's length neither.
 * Examples are at most ``EXAMPLES`` labelled documents (smallest hash of the id) with at most ``POSTINGS`` different terms together.
   Their vectors make an inverted index whose postings are cut into blocks of examples with each term's largest weight. A query visits
-  blocks by their bound and stops when none can reach the k-th best cosine, so the result is exact.
+  blocks by their bound and stops when none can reach the k-th best cosine. It does so with heavy terms; light ones, which hold most postings
+  and little of any vector, have a bound of their own, and what it leaves is compared in full, so the result is exact.
 * The k nearest vote with their cosine as weight (examples tied at the k-th place share the places left). The vote goes through a
   logistic curve fitted leave-one-out on at most ``CALIBRATION`` of the examples. Texts with no term of any example get the smoothed
   share of toxic ones among such examples.
@@ -24,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ from .common import map_rows, materialize, texts
 from .ngram_join import shingles
 
 EXAMPLES, POSTINGS, CALIBRATION, K, BLOCK = 3000, 5_000_000, 1500, 15, 64
+LIGHT, NEAR = 0.05, 2e-9  # the vectors' length in light terms; difference of cosines that may be the same when rounded
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,19 +65,55 @@ class BlockMaxIndex:
         self.entry_block = (self.owner[at] // block).astype(np.int32)
         self.top = np.maximum.reduceat(self.weight, at) if len(at) else np.empty(0)
         self.entries = np.searchsorted(term[at], np.arange(n_terms + 1))  # entries of term t: entries[t] to entries[t + 1]
+        # the vectors themselves: that of example i from vector[i] to vector[i + 1]
+        self.vector = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)))
+        self.vector_term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
+        self.vector_weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
+        self.query: np.ndarray | None = None  # by term; 0 between searches
+        # light terms: those with the least squares a posting, as long as they hold no more than LIGHT of the vectors' length
+        squares, held = np.bincount(term, self.weight**2, n_terms), np.bincount(term, minlength=n_terms)
+        by = np.argsort(squares / np.maximum(1, held), kind="stable")
+        self.light = np.zeros(n_terms, bool)
+        self.light[by[np.cumsum(squares[by]) <= LIGHT**2 * squares.sum()]] = True
+        less = np.where(self.light[term], self.weight, 0.0)
+        self.length = np.zeros(self.n_blocks * block)  # of each vector's light terms
+        self.length[: self.n] = np.sqrt(np.bincount(self.owner, less**2, self.n))
 
     def nearest(self, ts: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples whose cosine is at least the k-th best (all of those tied) and above 0, best first, with cosines."""
+        """Examples whose cosine is at least the k-th best (all of those tied) and above 0, best first, with cosines.
+
+        Blocks are visited for heavy terms, whose postings are few. What light terms add to a cosine is by Cauchy and Schwarz at most the product of
+        the lengths that they have in both vectors, so that few examples can be among the best; these get their cosines from whole vectors.
+        """
+        less = self.light[ts]
+        most = math.sqrt(q[less] @ q[less]) * self.length
+        sims, kth = self._visit(ts[~less], q[~less], k, most)
+        found = np.nonzero(sims + most >= kth - NEAR)[0]  # those without heavy terms in common among them
+        if kth <= NEAR or 8 * len(found) > self.n:  # too many: by all terms
+            sims, kth = self._visit(ts, q, k, np.zeros(len(most)))
+            found = np.nonzero((sims > 0) & (sims >= kth - NEAR))[0]
+        sims = np.round(self._cosines(found, ts, q), 9)
+        found, sims = found[sims > 0], sims[sims > 0]
+        if len(found) > k:
+            best = sims >= np.partition(sims, len(found) - k)[len(found) - k]
+            found, sims = found[best], sims[best]
+        by = np.lexsort((found, -sims))
+        return found[by], sims[by]
+
+    def _visit(self, ts: np.ndarray, q: np.ndarray, k: int, most: np.ndarray) -> tuple[np.ndarray, float]:
+        """What the terms add to the cosines in the blocks visited, and the k-th best of it (0 if there are fewer). Examples of the blocks
+        left out can't reach that with ``most`` more."""
         low, high = self.entries[ts], self.entries[ts + 1]
         n = high - low
         entry = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         w, of = np.repeat(q, n), self.entry_block[entry]
         bound = np.bincount(of, w * self.top[entry], self.n_blocks)
+        bound = np.where(bound > 0, bound + most.reshape(-1, self.block).max(1), 0.0)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         sims, done, step, kth = np.zeros(self.n_blocks * self.block), 0, 4, 0.0
         while done < len(order):
-            left = order[done:][bound[order[done:]] >= kth - 1e-9]  # a bound is a sum in another order than a cosine: allow for rounding
+            left = order[done:][bound[order[done:]] >= kth - NEAR]  # a bound is a sum in another order than a cosine: allow for rounding
             if not len(left):
                 break
             now = left if done and 4 * len(left) > self.n_blocks else left[:step]
@@ -88,13 +127,20 @@ class BlockMaxIndex:
             done, step = done + len(now), 2 * step
             seen = sims[sims > 0]
             kth = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0
-        sims = np.round(sims, 9)
-        found = np.nonzero(sims > 0)[0]
-        if len(found) > k:
-            kth = np.partition(sims[found], len(found) - k)[len(found) - k]
-            found = found[sims[found] >= kth]
-        by = np.lexsort((found, -sims[found]))
-        return found[by], sims[found][by]
+        return sims, kth
+
+    def _cosines(self, found: np.ndarray, ts: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if not len(found):
+            return np.empty(0)
+        if self.query is None:
+            self.query = np.zeros(len(self.entries) - 1)
+        self.query[ts] = q
+        m = self.vector[found + 1] - self.vector[found]  # no example is without terms
+        first = np.concatenate(([0], np.cumsum(m)[:-1]))
+        at = np.repeat(self.vector[found] - first, m) + np.arange(m.sum())
+        out = np.add.reduceat(self.query[self.vector_term[at]] * self.vector_weight[at], first)
+        self.query[ts] = 0.0
+        return out
 
 
 class Model:
@@ -118,6 +164,7 @@ class Model:
         if own:
             of = np.arange(len(own))[:: -(-len(own) // calibration)]
             self.curve = _logistic(np.array([self._vote(*self.index.nearest(*vectors[n], k + 1), without=n) for n in of]), self.toxic[of])
+            self.index.query = None  # not to be sent along
 
     def vector(self, ts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.weights[ts]
@@ -142,11 +189,12 @@ class Model:
         if self.vocabulary is None:
             self.vocabulary = {t: i for i, t in enumerate(self.names)}
         counts = terms_of(text)
-        known = list(map(self.vocabulary.get, counts))
-        ts = np.array([i for i in known if i is not None], np.int64)
+        ts = np.fromiter(map(self.vocabulary.get, counts, repeat(-1)), np.int64, len(counts))
+        known = ts >= 0
+        ts = ts[known]
         if self.index is None or not len(ts):
             return round(self.blank, 9), [], []
-        ts, w = self.vector(ts, np.array([n for i, n in zip(known, counts.values(), strict=True) if i is not None], float))
+        ts, w = self.vector(ts, np.fromiter(counts.values(), float, len(counts))[known])
         if not len(ts):
             return round(self.blank, 9), [], []
         a, b = self.curve
@@ -227,8 +275,8 @@ def _frequencies(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total += 1
-                at = [i for i in map(index.get, set(_WORD.findall(text.lower()))) if i is not None]
-                df[at] += 1
+                had = set(_WORD.findall(text.lower()))
+                df[np.fromiter(map(index.get, had, repeat(len(index))), np.int64, len(had))] += 1
         df[-1] = total
         some = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(df[some], pa.int64())], ["term", "n"])

@@ -262,6 +262,34 @@ def test_block_max_index_is_exact():
             assert sorted(ids.tolist()) == sorted(-i for s, i in sims if s >= kth) and got.tolist() == sorted(got.tolist(), reverse=True)
 
 
+def test_light_terms_are_read_of_few_examples_only(monkeypatch):
+    """Most postings are of light terms: searches are exact without them, for queries of light terms only too."""
+    r = np.random.default_rng(5)
+    visited = []
+    visit = toxicity.BlockMaxIndex._visit
+    monkeypatch.setattr(toxicity.BlockMaxIndex, "_visit", lambda self, ts, *rest: visited.append(len(ts)) or visit(self, ts, *rest))
+
+    def unit(ts, weights):
+        return ts, weights / np.sqrt(weights @ weights)
+
+    def vector():
+        ts = np.append(np.sort(r.choice(60, 4, replace=False)), 60 + np.sort(r.choice(200, 50, replace=False)))
+        return unit(ts, np.append(r.random(4) + 0.2, r.random(50) * 1e-2))
+
+    vectors = [vector() for _ in range(400)]
+    vectors += vectors[:5] + [unit(np.arange(60, 70), np.arange(1.0, 11.0))]
+    dense = np.zeros((len(vectors), 260))
+    for row, (ts, w) in zip(dense, vectors, strict=True):
+        row[ts] = w
+    index = toxicity.BlockMaxIndex(vectors, 260, block=16)
+    for ts, w in [*vectors[:40], *vectors[-1:], unit(np.arange(65, 90), np.ones(25))]:
+        sims = np.round(dense[:, ts] @ w, 9)
+        kth = np.sort(sims)[-15]
+        ids, got = index.nearest(ts, w, 15)
+        assert sorted(ids.tolist()) == np.nonzero(sims >= kth)[0].tolist() and np.allclose(got, sims[ids], atol=2e-9)
+    assert sum(n <= 10 for n in visited) >= 40 and len(visited) < 50
+
+
 def test_toxicity_scores_match_brute_force(spark):
     """The whole way, from texts to scores, with plain dictionaries."""
     import math
