@@ -231,21 +231,25 @@ def crypto_findings(surfaces: DataFrame) -> DataFrame:
     line: of the function, to which line feeds before the match are added; a match in a sink is on the function's line. Matches are cut at 120
     characters. CWE-327: weak algorithms, sinks first. CWE-321: a literal key. CWE-338: weak generators, none if a safe one is seen. CWE-916: few rounds.
     """
-    code, sinks = F.coalesce("code", F.lit("")), F.coalesce("sink_nodes", F.array().cast("array<string>"))
-    in_sink = lambda w: F.exists(sinks, lambda s: F.lower(s).contains(w.lower()))
+    # All sinks as one text, of which no word holds a line feed: a search in it is compiled code, one by a lambda isn't. What several
+    # searches need, and each kind's match, is a column of its own, so that it is made once a row.
+    sinks = F.array_join(F.coalesce("sink_nodes", F.array().cast("array<string>")), "\n")
+    texts = surfaces.select("surface_id", "line", F.coalesce("code", F.lit("")).alias("code"), sinks.alias("sinks")).select("*", F.lower("sinks").alias("low_sinks"), F.lower("code").alias("low_code"))
+    code = F.col("code")
     hit = lambda cond, matched, at: F.when(cond, F.struct(matched.alias("matched"), at.cast("int").alias("at")))
-    sunk = lambda w: hit(in_sink(w), F.lit(w), F.lit(0))
+    sunk = lambda w: hit(F.col("low_sinks").contains(w.lower()), F.lit(w), F.lit(0))
     told = lambda w: hit(code.contains(w), F.lit(w), F.instr(code, w))
-    found = lambda rx: hit(code.rlike(rx), F.regexp_extract(code, rx, 0), F.regexp_instr(code, F.lit(rx)))
-    few = lambda name, least: F.regexp_extract(code, rf"(?i){name}.*?\b([0-9]+)\b", 1).try_cast("long").between(1, least - 1)
+    # a pattern is tried on texts that hold its name only
+    found = lambda named, rx: hit(named & code.rlike(rx), F.regexp_extract(code, rx, 0), F.regexp_instr(code, F.lit(rx)))
+    few = lambda name, least: F.col("low_code").contains(name) & F.regexp_extract(code, rf"(?i){name}.*?\b([0-9]+)\b", 1).try_cast("long").between(1, least - 1)
     kinds = {
         "CWE-327": F.coalesce(*map(sunk, WEAK_SINKS), *map(told, WEAK_CODE)),
-        "CWE-321": F.coalesce(*[found(rf'{k}\s*=\s*"') for k in KEY_NAMES]),
-        "CWE-338": F.when(~X.contains_any(code, SAFE_RANDOM) & ~F.exists(sinks, lambda s: X.contains_any(s, SAFE_RANDOM)), F.coalesce(*[f(w) for w in WEAK_RANDOM for f in (sunk, told)])),
-        "CWE-916": F.coalesce(*[F.when(few(name, least), found(rf"(?i){name}.*?\b([0-9]+)\b")) for name, least, _ in LOW_ROUNDS]),
+        "CWE-321": F.coalesce(*[found(code.contains(k), rf'{k}\s*=\s*"') for k in KEY_NAMES]),
+        "CWE-338": F.when(~X.contains_any(code, SAFE_RANDOM) & ~X.contains_any(F.col("sinks"), SAFE_RANDOM), F.coalesce(*[f(w) for w in WEAK_RANDOM for f in (sunk, told)])),
+        "CWE-916": F.coalesce(*[found(few(name, least), rf"(?i){name}.*?\b([0-9]+)\b") for name, least, _ in LOW_ROUNDS]),
     }
-    each = F.array(*[F.struct(F.lit(cwe).alias("cwe"), got["matched"].alias("matched"), got["at"].alias("at")) for cwe, got in kinds.items()])
-    rows = surfaces.select("surface_id", "line", code.alias("code"), F.explode(F.filter(each, lambda x: x["matched"].isNotNull())).alias("f"))
+    got = texts.select("surface_id", "line", "code", *[match.alias(cwe) for cwe, match in kinds.items()])
+    rows = got.select("surface_id", "line", "code", F.explode(F.array(*[F.struct(F.lit(cwe).alias("cwe"), F.col(f"`{cwe}`.matched").alias("matched"), F.col(f"`{cwe}`.at").alias("at")) for cwe in kinds])).alias("f")).where("f.matched is not null")
     above = F.when((F.col("f.at") > 0) & (F.col("line") > 0), F.size(F.split(F.expr("substring(code, 1, f.at - 1)"), "\n")) - 1).otherwise(0)
     return rows.select("surface_id", F.col("f.cwe").alias("cwe"), F.greatest(F.lit(1), F.coalesce("line", F.lit(0)) + above).cast("int").alias("line"), F.substring("f.matched", 1, 120).alias("matched"), F.when(F.col("f.cwe") == "CWE-916", F.lit(0.80)).otherwise(F.lit(0.85)).alias("conf"))
 

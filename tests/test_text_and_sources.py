@@ -81,6 +81,14 @@ def test_crypto(spark):
     assert got == {k: v[3] for k, v in cases.items() if v[3]}
 
 
+def test_crypto_is_compiled(spark):
+    """No lambda, which Spark would interpret for every row; sinks are searched one by one all the same, and a null one says nothing."""
+    cases = [(1, "random.random()", ["crypto", "/rand"]), (2, "", ["m", "d5"]), (3, "", [None, "use MD5"]), (4, "Math.random()", [None, "x"]), (5, "", ["new RANDOM(", "b"]), (6, 'keys ="k" PBKDF2', ["crypto/rand"])]
+    df = text.crypto_findings(spark.createDataFrame([(i, 4, c, s) for i, c, s in cases], "surface_id int, line int, code string, sink_nodes array<string>"))
+    assert {(r.surface_id, r.cwe, r.line, r.matched) for r in df.collect()} == {(1, "CWE-338", 4, "random.random("), (3, "CWE-327", 4, "md5"), (4, "CWE-338", 4, "Math.random("), (5, "CWE-338", 4, "new Random(")}
+    assert "lambda" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 JAVA = """package x;
 @RequestMapping(value = "/api/")
 public class Users {
