@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 
 MAX_DEPTH = 6
+LIST = 1024
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -21,17 +22,35 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
 
 
-def depths(edges: DataFrame, seeds: DataFrame, limit: int | None = None, prepared: bool = False) -> DataFrame:
-    """(id, depth), the least number of hops from any seed(id); seeds are at 0. Cycles are harmless.
+def adjacency_lists(edges: DataFrame, key: str = "from_id", other: str = "to_id") -> DataFrame:
+    """(key, others), cut off from its plan: what searches join at every hop. Lists hold at most ``LIST`` ends, so that a hop reads and moves
+    a row for each node, not one for each edge, and no row grows with a node's edges."""
+    return _lists(edges.select(key, other).distinct(), key, other)
 
-    prepared: the edges are distinct and cut off from their plan already.
-    """
-    steps = edges if prepared else cut(edges.select(F.col("from_id"), F.col("to_id")).distinct())  # else made anew at every hop
-    seen = cut(seeds.select(F.col("id")).distinct().withColumn("depth", F.lit(0)))
+
+def reversed_lists(lists: DataFrame) -> DataFrame:
+    """`adjacency_lists` of the same edges backward."""
+    return _lists(lists.select(F.explode("others").alias("from_id"), F.col("from_id").alias("to_id")), "from_id", "to_id")
+
+
+def _lists(rows: DataFrame, key: str, other: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return cut(rows.withColumn("list", F.floor((at - 1) / LIST)).groupBy(key, "list").agg(F.collect_list(other).alias("others")).select(key, "others"))
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges if "others" in edges.columns else adjacency_lists(edges)
+
+
+def depths(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, depth), the least number of hops from any seed(id); seeds are at 0. Cycles are harmless. edges:
+    from_id and to_id, or their lists."""
+    steps = _steps(edges)
+    seen = new = cut(seeds.select(F.col("id")).distinct().withColumn("depth", F.lit(0)))
     at = 0
     while limit is None or at < limit:
-        front = seen.where(F.col("depth") == at).select(F.col("id").alias("from_id"))
-        new = steps.join(front, "from_id").select(F.col("to_id").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(at + 1))
+        front = new.select(F.col("id").alias("from_id"))
+        new = steps.join(front, "from_id").select(F.explode("others").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(at + 1))
         new = cut(new)
         if new.isEmpty():
             break
@@ -45,12 +64,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> D
 
 
 def masks(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seeds(id, mask) → (id, mask): for every node that any seed reaches, the bits of all seeds that reach it. One search for all bits; edges as
-    `depths` takes them prepared. A node is passed on again only with bits that are new to it."""
+    """seeds(id, mask) → (id, mask): for every node that any seed reaches, the bits of all seeds that reach it. One search for all bits, edges as for
+    `depths`. A node is passed on again only with bits that are new to it."""
+    steps = _steps(edges)
     seen = front = cut(seeds.groupBy("id").agg(F.bit_or("mask").alias("mask")))
     at = 0
     while True:
-        got = edges.join(front.withColumnRenamed("id", "from_id"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.bit_or("mask").alias("got"))
+        got = steps.join(front.withColumnRenamed("id", "from_id"), "from_id").select(F.explode("others").alias("id"), "mask").groupBy("id").agg(F.bit_or("mask").alias("got"))
         known = seen.groupBy("id").agg(F.bit_or("mask").alias("known"))
         new = F.col("got").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0))))
         front = cut(got.join(known, "id", "left").select("id", new.alias("mask")).where("mask != 0"))
@@ -155,10 +175,10 @@ def nearest_marks(callers: DataFrame, marks: DataFrame, hops: int) -> DataFrame:
     One search for all nodes, from the marks down: the nearest marks of a node are those of its callers that are nearest themselves. Each node
     joins the frontier once, so that no pair of a node and what it meets is kept.
     """
-    up = cut(callers.select("node_id", "caller_id"))
+    up = adjacency_lists(callers, "caller_id", "node_id")
     seen = front = cut(marks.select("id").dropna().distinct().select("id", F.lit(0).alias("depth"), F.col("id").alias("low"), F.col("id").alias("high")))
     for at in range(1, hops + 1):
-        got = up.join(front.select(F.col("id").alias("caller_id"), "low", "high"), "caller_id").groupBy(F.col("node_id").alias("id")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        got = up.join(front.select(F.col("id").alias("caller_id"), "low", "high"), "caller_id").select(F.explode("others").alias("id"), "low", "high").groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         front = cut(got.join(seen.select("id"), "id", "left_anti").select("id", F.lit(at).alias("depth"), "low", "high"))
         if front.isEmpty():
             break

@@ -67,14 +67,14 @@ class Reach:
 def reach(methods: DataFrame, calls: DataFrame, file_bits: DataFrame) -> Reach:
     """One search forward from source files and one backward from sinks, auth seeds and storage at once, over edges that are prepared once."""
     m = cut(methods.join(file_bits.select(F.col("path").alias("file"), "bits"), "file", "left").withColumn("bits", F.coalesce("bits", F.lit(0))))
-    steps = cut(calls.select("from_id", "to_id").distinct())
+    steps = graph.adjacency_lists(calls)
     has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) > 0
     auth_files = m.where(has(AUTH))
     named = auth_files.where(is_auth_method(F.col("name"), F.col("code")))
     auth = (named if not named.isEmpty() else auth_files).select(F.col("node_id").alias("id")).distinct()
-    forward = graph.depths(steps, m.where(has(SOURCE)).select(F.col("node_id").alias("id")), prepared=True)
+    forward = graph.depths(steps, m.where(has(SOURCE)).select(F.col("node_id").alias("id")))
     own = m.where(has(SINK | STORAGE)).select(F.col("node_id").alias("id"), F.col("bits").bitwiseAND(F.lit(SINK | STORAGE)).alias("mask"))
-    masks = graph.masks(graph.reversed_edges(steps), own.unionByName(auth.withColumn("mask", F.lit(AUTH))))
+    masks = graph.masks(graph.reversed_lists(steps), own.unionByName(auth.withColumn("mask", F.lit(AUTH))))
     return Reach(m, auth, forward, masks)
 
 
@@ -97,7 +97,7 @@ def second_order(methods: DataFrame, calls: DataFrame, file_bits: DataFrame, fou
     """Nodes that can reach both a storage file and a sink file, kind external_input, depth 0. By itself it searches backward from these only."""
     if found is None:
         near = methods.join(file_bits.select(F.col("path").alias("file"), "bits"), "file").select(F.col("node_id").alias("id"), F.col("bits").bitwiseAND(F.lit(SINK | STORAGE)).alias("mask"))
-        masks = graph.masks(graph.reversed_edges(cut(calls.select("from_id", "to_id").distinct())), near.where("mask != 0"))
+        masks = graph.masks(graph.reversed_edges(calls), near.where("mask != 0"))
     else:
         masks = found.masks
     both = masks.where(F.col("mask").bitwiseAND(F.lit(STORAGE | SINK)) == STORAGE | SINK).select("id")

@@ -144,3 +144,20 @@ def test_cve_sets_with_many_surfaces_are_split(spark, monkeypatch):
         got = [tuple(r) for r in enrich.match_packages(s, p).collect()]
         assert len(got) == len(want) and set(got) == want
         assert {(r.surface_id, r.cves) for r in enrich.best_of_sets(s, p).collect()} == {(f"s{k}", "C5,C3,C1" if k % 3 else "C4,C2,C0") for k in range(40)}
+
+
+def test_searches_join_lists(spark):
+    """A hop joins a row for each node, not one for each edge, and lists of a hub are cut; the reversed ones hold the same edges."""
+    pairs = {("hub", f"n{k}") for k in range(2500)} | {(f"n{k}", "end") for k in range(1500)} | {("end", "hub")}
+    edges = spark.createDataFrame([*pairs, ("end", "hub"), (None, "x"), ("end", None)], "from_id string, to_id string")
+    lists = graph.adjacency_lists(edges)
+    rows = lists.collect()
+    assert sorted(len(r.others) for r in rows if r.from_id == "hub") == [452, 1024, 1024] and sum(r.from_id == "n7" for r in rows) == 1
+    assert {(r.from_id, x) for r in rows if r.from_id for x in r.others} == pairs
+    back = graph.reversed_lists(lists).collect()
+    assert {(x, r.from_id) for r in back if r.from_id for x in r.others if x} == pairs and max(len(r.others) for r in back) == 1024
+    seeds = spark.createDataFrame([("hub",)], "id string")
+    for e in (edges, lists):
+        got = {r.id: r.depth for r in graph.depths(e, seeds).collect()}
+        assert got.pop("hub") == 0 and got.pop("end") == 2 and set(got.values()) == {1} and len(got) == 2500
+        assert {r.mask for r in graph.masks(e, seeds.selectExpr("id", "4 as mask")).where("id is not null").collect()} == {4}
