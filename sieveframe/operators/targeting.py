@@ -64,8 +64,8 @@ class Reach:
     masks: DataFrame
 
 
-def reach(methods: DataFrame, calls: DataFrame, file_bits: DataFrame) -> Reach:
-    """One search forward from source files and one backward from sinks, auth seeds and storage at once, over edges that are prepared once."""
+def reach(methods: DataFrame, calls: DataFrame, file_bits: DataFrame, ends: int = SINK | STORAGE) -> Reach:
+    """One search forward from source files and one backward from auth seeds and the ends (sinks, storage) at once, over edges that are prepared once."""
     m = cut(methods.join(file_bits.select(F.col("path").alias("file"), "bits"), "file", "left").withColumn("bits", F.coalesce("bits", F.lit(0))))
     steps = graph.adjacency_lists(calls)
     has = lambda bit: F.col("bits").bitwiseAND(F.lit(bit)) > 0
@@ -73,7 +73,7 @@ def reach(methods: DataFrame, calls: DataFrame, file_bits: DataFrame) -> Reach:
     named = auth_files.where(is_auth_method(F.col("name"), F.col("code")))
     auth = (named if not named.isEmpty() else auth_files).select(F.col("node_id").alias("id")).distinct()
     forward = graph.depths(steps, m.where(has(SOURCE)).select(F.col("node_id").alias("id")))
-    own = m.where(has(SINK | STORAGE)).select(F.col("node_id").alias("id"), F.col("bits").bitwiseAND(F.lit(SINK | STORAGE)).alias("mask"))
+    own = m.where(has(ends)).select(F.col("node_id").alias("id"), F.col("bits").bitwiseAND(F.lit(ends)).alias("mask"))
     masks = graph.masks(graph.reversed_lists(steps), own.unionByName(auth.withColumn("mask", F.lit(AUTH))))
     return Reach(m, auth, forward, masks)
 
@@ -82,9 +82,9 @@ def select_surfaces(methods: DataFrame, calls: DataFrame, file_bits: DataFrame,
     """methods(node_id, name, file, code) on a path from a source file to a sink file, auth seeds among them,
     as (surface_id, name, file, kind, depth).
 
-    IDOR candidates are those that can't reach an auth seed and whose name or file says they handle a resource.
+    IDOR candidates are those that can't reach an auth seed and whose name or file says they handle a resource. By itself it searches for no storage.
     """
-    r = found or reach(methods, calls, file_bits)
+    r = found or reach(methods, calls, file_bits, SINK)
     to = lambda bit: F.col("mask").bitwiseAND(F.lit(bit)) > 0
     on_path = r.methods.join(r.forward.withColumnRenamed("id", "node_id"), "node_id").join(r.masks.where(to(SINK)).withColumnRenamed("id", "node_id"), "node_id")
     own = on_path.join(r.auth.select(F.col("id").alias("node_id"), F.lit(True).alias("is_auth")), "node_id", "left")

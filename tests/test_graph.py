@@ -161,3 +161,16 @@ def test_searches_join_lists(spark):
         got = {r.id: r.depth for r in graph.depths(e, seeds).collect()}
         assert got.pop("hub") == 0 and got.pop("end") == 2 and set(got.values()) == {1} and len(got) == 2500
         assert {r.mask for r in graph.masks(e, seeds.selectExpr("id", "4 as mask")).where("id is not null").collect()} == {4}
+
+
+def test_surfaces_search_no_storage(spark, monkeypatch):
+    from sieveframe.operators import targeting
+
+    methods = spark.createDataFrame([(i, i, f"{i}.java", "") for i in "abcde"], "node_id string, name string, file string, code string")
+    bits = spark.createDataFrame([("a.java", 2), ("c.java", 4), ("d.java", 8), ("e.java", 16)], "path string, bits int")
+    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d"), ("c", "e")], "from_id string, to_id string")
+    looked_for, masks = [], graph.masks
+    monkeypatch.setattr(graph, "masks", lambda edges, seeds: looked_for.append({(r.id, r.mask) for r in seeds.collect()}) or masks(edges, seeds))
+    got = {(r.surface_id, r.kind, r.depth) for r in targeting.select_surfaces(methods, calls, bits).collect()}
+    assert got == {("a", "external_input", 0), ("b", "external_input", 1), ("c", "external_input", 2)}
+    assert looked_for == [{("c", 4), ("d", 8)}]
